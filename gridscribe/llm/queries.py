@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, url_filter
+from . import jaccard, license_scan, mixing, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix": mixing.op1_mix,
         "op3_license_scan": license_scan.op3_license_scan,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
 
 
