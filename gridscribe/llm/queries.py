@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard, license_scan, mixing, url_filter
+from . import jaccard, license_scan, mixing, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_mix": mixing.op1_mix,
         "op3_license_scan": license_scan.op3_license_scan,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.ORACLE_SQL}
+    return {"op4_substring_dedup": substring_dedup.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL}
