@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, license_scan, mixing, substring_dedup, url_filter
+from . import decontamination, jaccard, language_id, license_scan, mixing, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_language_id": language_id.op9_language_id,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
 
