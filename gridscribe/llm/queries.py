@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language_id, license_scan, mixing, substring_dedup, url_filter
+from . import decontamination, jaccard, language_id, license_scan, mixing, pii, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_mix": mixing.op1_mix,
+        "op2_pii": pii.op2_pii,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
