@@ -13,7 +13,8 @@ words or more is found by looking up blocks alone, and every block is indexed.
    checked by itself against the runs of the blocks with the same anchor.
 
 Both lookups are aggregates with map-side combining and joins on a key of 128 bits (anchor and content hashed apart),
-so a passage that a third of all documents share is no task's burden alone. Texts move once, to meet their spans.
+so a passage that a third of all documents share is no task's burden alone. Of the texts, only those with a
+span move, once, to meet their spans.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import build_sieve
-from .common import Words, durable, mix, prepare, slices, table
+from .common import Words, mix, prepare, slices, stored, table
 
 WINDOW, GRAM = 20, 8
 
@@ -78,14 +79,37 @@ def covered(n_words: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def duplicate_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """id, text_hash, spans (first word, end word; sorted, apart) for each text of `docs` (doc_id, text) that has factors.
+LAST = (1 << 63) - 1
 
-    `id` is doc_id with null as the largest one.
-    """
-    spark = docs.sparkSession
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, id (null as the largest one) and twin: tells texts that share an id apart, 0 where none do."""
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("id"))
+    shared = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return rows.withColumn("twin", F.xxhash64("text") if shared else F.lit(0).cast("long"))
+
+
+def _place_key(*parts: np.ndarray) -> np.ndarray:
+    acc = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        acc = mix(acc + p.astype(np.int64).view(np.uint64), 26)
+    return acc
+
+
+def _key_rows(df: DataFrame, *names: str) -> DataFrame:
+    def keys(batches):
+        for b in batches:
+            key = _place_key(*(b[n].to_numpy(zero_copy_only=False) for n in names))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return df.select(*names).mapInArrow(keys, "key long")
+
+
+def duplicate_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """id, twin, spans (first word, end word; sorted, apart) for each row of `_keyed` rows that has factors."""
+    spark = keyed.sparkSession
     prepare(spark)
-    rows = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("text_hash"), "text").where(F.length("text") >= 2 * window - 1)
+    rows = keyed.where(F.length("text") >= 2 * window - 1).select("id", "twin", "text")
 
     def anchors(batches):
         for batch in batches:
@@ -94,47 +118,57 @@ def duplicate_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 _, _, anchor, _ = blocks_of(Words(texts[a:b]), window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], names=["anchor"])
 
-    repeated = rows.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    sieve = spark.sparkContext.broadcast(build_sieve(durable(repeated)))
+    counted = rows.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    repeated = spark.sparkContext.broadcast(build_sieve(stored(counted.where("n > 1").select("anchor"))))
 
-    def blocks(batches):
+    def parsed(batches):
+        """For each step of texts: ids, twins, first words, runs in each block, anchors, contents, run hashes at the blocks."""
         for batch in batches:
-            texts, ids, hashes = batch["text"].to_pylist(), batch["id"].to_numpy(), batch["text_hash"].to_numpy()
+            texts, ids, twins = batch["text"].to_pylist(), batch["id"].to_numpy(), batch["twin"].to_numpy()
             for a, b in slices(texts):
                 words = Words(texts[a:b])
                 first, count, anchor, runs = blocks_of(words, window, gram)
-                keep = sieve.value.passes(anchor)
+                keep = repeated.value.passes(anchor)
                 first, count, anchor = first[keep], count[keep], anchor[keep]
                 owner = np.searchsorted(words.first, first, side="right") - 1
-                inner = [runs[x : x + k].tobytes() for x, k in zip(first.tolist(), count.tolist(), strict=True)]
-                columns = [ids[a + owner], hashes[a + owner], first - words.first[owner], count, anchor.view(np.int64), _content(first, count, runs).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(inner, pa.binary())], names=["id", "text_hash", "at", "n", "anchor", "content", "runs"])
+                yield ids[a + owner], twins[a + owner], first - words.first[owner], count, anchor, _content(first, count, runs), first, runs
+
+    def blocks(batches):
+        for *columns, _, _ in parsed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["id", "twin", "at", "n", "anchor", "content"])
 
-    placed = durable(rows.mapInArrow(blocks, "id long, text_hash long, at long, n long, anchor long, content long, runs binary"))
-    # `at` and `id` first: the least struct is the first place. All places of a block have the same runs.
-    index = durable(placed.groupBy("anchor", "content").agg(F.min(F.struct("id", "at")).alias("first"), F.any_value("runs").alias("runs")))
-    copies = placed.drop("runs").join(index.select("anchor", "content", "first"), ["anchor", "content"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
-    whole = copies.select("id", "text_hash", "at", (F.col("at") + F.col("n") - 1 + window).alias("end"))
+    placed = stored(rows.mapInArrow(blocks, "id long, twin long, at long, n long, anchor long, content long"))
+    # The least struct is the first place.
+    index = stored(placed.groupBy("anchor", "content").agg(F.min(F.struct("id", "at", "twin")).alias("first"), F.count("*").alias("places")))
+    later = (F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at"))
+    copies = placed.join(index.where("places > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(later)
+    whole = copies.select("id", "twin", "at", (F.col("at") + F.col("n") - 1 + window).alias("end"))
 
-    # Boundaries: anchors with different blocks, run by run.
+    # Boundaries: the first places of blocks whose anchor has other blocks too, run by run.
     several = index.groupBy("anchor").agg(F.count("*").alias("blocks")).where("blocks > 1").select("anchor")
-    runs = F.expr("transform(sequence(0, cast(length(runs) div 8 as int) - 1), k -> substring(runs, 8 * k + 1, 8))")
-    single = index.join(several, "anchor").select("anchor", F.col("first.id").alias("id"), F.col("first.at").alias("block"), F.posexplode(runs).alias("k", "run"))
-    single = single.withColumn("at", F.col("block") + F.col("k"))
+    edges = _key_rows(index.join(several, "anchor").select("anchor", "content", "first.*"), "id", "twin", "at", "anchor", "content")
+    wanted = spark.sparkContext.broadcast(build_sieve(stored(edges)))
+
+    def runs_of(batches):
+        for ids, twins, at, count, anchor, content, first, runs in parsed(batches):
+            on = wanted.value.passes(_place_key(ids, twins, at, anchor.view(np.int64), content.view(np.int64)))
+            total = int(count[on].sum())
+            inner = np.arange(total) - np.repeat(np.cumsum(count[on]) - count[on], count[on])
+            spread = lambda c: np.repeat(c[on], count[on])
+            columns = [spread(ids), spread(twins), spread(at) + inner, spread(anchor), runs[spread(first) + inner]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["id", "twin", "at", "anchor", "run"])
+
+    single = stored(rows.mapInArrow(runs_of, "id long, twin long, at long, anchor long, run long"))
     earliest = single.groupBy("anchor", "run").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
-    late = single.join(earliest, ["anchor", "run"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
-    # The index has one place of a block; which text of that id it is, `placed` knows.
-    at_first = placed.select("id", "text_hash", F.col("at").alias("block"), "anchor", "content")
-    checked = late.groupBy("anchor", "id", "block").agg(F.collect_list("at").alias("ats")).join(at_first, ["anchor", "id", "block"])
-    checked = checked.select("id", "text_hash", F.explode("ats").alias("at")).withColumn("end", F.col("at") + window)
+    checked = single.join(earliest, ["anchor", "run"]).where(later).select("id", "twin", "at", (F.col("at") + window).alias("end"))
 
     def factors(group: pa.Table) -> pa.Table:
         at, end = group["at"].to_numpy(), group["end"].to_numpy()
         edges = np.diff(np.r_[False, covered(int(end.max()), at, end), False].astype(np.int8))
         spans = [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
-        return pa.table({"id": group["id"].slice(0, 1), "text_hash": group["text_hash"].slice(0, 1), "spans": pa.array([spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))})
+        return pa.table({"id": group["id"].slice(0, 1), "twin": group["twin"].slice(0, 1), "spans": pa.array([spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))})
 
-    return whole.unionByName(checked).groupBy("id", "text_hash").applyInArrow(factors, "id long, text_hash long, spans array<struct<begin: long, end: long>>")
+    return whole.unionByName(checked).groupBy("id", "twin").applyInArrow(factors, "id long, twin long, spans array<struct<begin: long, end: long>>")
 
 
 def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -145,9 +179,19 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GR
     Rows that share an id are one document as to order: neither is earlier where both start at one word. Null ids
     come last. An empty table gives no rows; other columns are not looked at.
     """
-    spans = duplicate_runs(docs, window, gram)
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("text_hash"))
-    met = rows.join(spans, ["id", "text_hash"], "left").select("doc_id", "text", "spans")
+    keyed = _keyed(docs)
+    spans = stored(duplicate_runs(keyed, window, gram))
+    sieve = keyed.sparkSession.sparkContext.broadcast(build_sieve(stored(_key_rows(spans, "id", "twin"))))
+
+    def parted(marked: bool):
+        """Rows that may have spans, or those that surely have none."""
+
+        def part(batches):
+            for b in batches:
+                is_in = sieve.value.passes(_place_key(b["id"].to_numpy(), b["twin"].to_numpy()))
+                yield b.filter(pa.array(is_in == marked))
+
+        return keyed.mapInArrow(part, keyed.schema)
 
     def cut(batches):
         for batch in batches:
@@ -164,7 +208,10 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GR
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch["spans"]], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    return met.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<begin: long, end: long>>")
+    met = parted(True).join(spans, ["id", "twin"], "left").select("doc_id", "text", "spans")
+    free = parted(False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<begin: long, end: long>>"
+    return met.mapInArrow(cut, schema).unionAll(free.mapInArrow(cut, schema))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
