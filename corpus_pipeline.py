@@ -1,15 +1,50 @@
-"""The corpus pipeline: documents go through the stages in order, each on all that the one before kept."""
+"""The corpus pipeline: documents go through the stages in order, each on all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last one adds what the mix takes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridscribe.llm import decontamination, jaccard, language_id, mixing, pii
+from gridscribe.llm.common import stored, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model, learnt from the labelled ones, recognises."""
+    named = language_id.identify(docs, language_id.fit(docs))
+    return named.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles with a similarity of 0.8 or more link."""
+    return jaccard.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item, to 0.8 of its shingles or more."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and what discloses it taken out of their texts."""
+    return pii.sanitise(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with how many complete passes and how many words in all."""
+    return mixing.mix_sources(docs).where("taken > 0")
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("jaccard_join", near_duplicates), ("decontamination", decontaminate), ("pii", personal_data), ("mixing", mix)]
+#: Learnt models and rewritten texts are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

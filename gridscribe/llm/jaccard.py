@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import build_sieve
-from .common import Words, _odd, durable, mix, prepare, slices, table
+from .common import Words, _odd, mix, prepare, slices, stored, table
 from .components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -112,6 +112,55 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD
     texts have none: no links, their class is their own id. Null ids are classed like others and come
     last; repeated rows are copies. An empty table gives no rows; other columns are not looked at.
     """
+    rows, found = _classed(docs, n, threshold, recall)
+    return rows.join(found, "name", "left").select(
+        "doc_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"),
+        "n_shingles",
+    )
+
+
+def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """`docs` with one row of each class of `jaccard_join`: its least doc_id, then least text hash. Columns stay.
+
+    Texts without a word are in no class and stay. Of rows with one id and one text, one stays. Rows that no one
+    could drop are told by a sieve and do not move; the others meet the list of dropped rows.
+    """
+    rows, found = _classed(docs, n, threshold, recall)
+    known = stored(rows.where("name is not null").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), "__hash", "name").join(found.select("name", "root"), "name"))
+    first = known.groupBy("root").agg(F.min(F.struct("__id", "__hash")).alias("first"))
+    each = known.groupBy("root", "__id", "__hash").agg(F.count("*").alias("n")).join(first, "root")
+    is_first = (F.col("__id") == F.col("first.__id")) & (F.col("__hash") == F.col("first.__hash"))
+    marked = stored(each.select("__id", "__hash", F.when(is_first, "twice").otherwise("gone").alias("__mark"), "n").where("__mark = 'gone' or n > 1").drop("n"))
+
+    def keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_id_key(b).view(np.int64))], names=["key"])
+
+    sieve = docs.sparkSession.sparkContext.broadcast(build_sieve(marked.select("__id", "__hash").mapInArrow(keys, "key long")))
+    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "__hash": F.xxhash64("text")})
+
+    def parted(maybe: bool):
+        def part(batches):
+            for b in batches:
+                yield b.filter(pa.array(sieve.value.passes(_id_key(b)) == maybe))
+
+        return keyed.mapInArrow(part, keyed.schema)
+
+    met = parted(True).join(marked, ["__id", "__hash"], "left")
+    left = met.where("__mark is null").unionByName(met.where("__mark = 'twice'").dropDuplicates(["__id", "__hash"]))
+    return left.select(*docs.columns).unionAll(parted(False).select(*docs.columns))
+
+
+def _id_key(batch: pa.RecordBatch) -> np.ndarray:
+    ids, hashes = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("__id", "__hash"))
+    return mix(mix(ids, 51) + hashes, 52)
+
+
+def _classed(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, __hash, name, n_shingles of every row; and name, root, class_id, n_links, n_copies of every class."""
     spark = docs.sparkSession
     prepare(spark)
     minhash = MinHash(*choose_bands(threshold, recall))
@@ -127,26 +176,20 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD
                 names += [set_name(s) for s in sets]
                 counts += [len(s) for s in sets]
                 bands += [next(hashes) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "name", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("__hash"), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "__hash", "name", "n_shingles", "bands"])
 
-    narrow = docs.select("doc_id", "text")
-    rows = durable(narrow.mapInArrow(sketch, "doc_id long, name binary, n_shingles long, bands array<long>"))
-    classes = durable(
+    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
+    rows = stored(narrow.mapInArrow(sketch, "doc_id long, __hash long, name binary, n_shingles long, bands array<long>"))
+    classes = stored(
         rows.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
     )
-    candidates = durable(_candidates(classes))
-    links = _links(narrow, candidates, classes, n, threshold)
+    candidates = stored(_candidates(classes))
+    links = _links(narrow.drop("__hash"), candidates, classes, n, threshold)
 
     found = classes.join(links, "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = found.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    found = found.join(least, "root").select("name", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return rows.select("doc_id", "name", "n_shingles").join(found, "name", "left").select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"),
-        "n_shingles",
-    )
+    found = found.join(least, "root").select("name", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    return rows.select("doc_id", "__hash", "name", "n_shingles"), found
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -162,7 +205,7 @@ def _links(narrow: DataFrame, candidates: DataFrame, classes: DataFrame, n: int,
     known = candidates.join(classes.select("name", "first_id", "copies", "n_shingles"), "name")
     size = known.groupBy("component").agg(F.count("*").alias("classes"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    members = durable(known.join(size.select("component", blocks.alias("blocks")), "component"))
+    members = stored(known.join(size.select("component", blocks.alias("blocks")), "component"))
 
     def keys(batches):
         for batch in batches:
@@ -190,7 +233,7 @@ def _links(narrow: DataFrame, candidates: DataFrame, classes: DataFrame, n: int,
     def verify(group: pa.Table) -> pa.Table:
         return verified(group, threshold)
 
-    found = durable(tiles.groupBy("component", "i", "j").applyInArrow(verify, "name binary, links long, root binary"))
+    found = stored(tiles.groupBy("component", "i", "j").applyInArrow(verify, "name binary, links long, root binary"))
     counts = found.groupBy("name").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if (members.agg(F.max("blocks")).first()[0] or 1) == 1:
         return counts  # every component was one tile, so its roots are final

@@ -52,55 +52,68 @@ def water_fill(sizes: dict, weights: dict, total: float, most: float) -> dict:
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """Each document of `docs` (doc_id, text, source) with the words that the mix takes of it.
+    """`docs` (doc_id, text, source and others) with the words that the mix takes of each row.
 
     Sources sorted by code point, null last, weigh `weights`, repeating. All targets together are
-    `share` of all words; none is over `most` times its source's words. Returns doc_id, size,
-    source, source_size, target, epochs, taken: `epochs` complete passes, then `taken - epochs * size`
-    more words of it; where the budget ends inside a document, its first words fill it up.
+    `share` of all words; none is over `most` times its source's words. Adds size, source_size, target, epochs and taken,
+    which replace columns of these names: `epochs` complete passes, then `taken - epochs * size` more
+    words of the row; where the budget ends inside a document, its first words fill it up.
 
     Nulls: a null text has size 0 and is taken 0 times; null sources are one source; null ids share
-    one key. Ties in the key go by id, then by a hash of the text; rows alike in all of these are
-    interchangeable. An empty table gives no rows. Other columns of `docs` are not looked at.
+    one key. Ties in the key go by id, then by a hash of the text; rows alike in all of these share what is left
+    of the budget evenly. An empty table gives no rows. Every row stays, in its own task: only keys and sizes
+    are shuffled, and the ends of the budgets, one row a source, come back to the rows.
     """
-    id_hash = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    uniform = (F.shiftrightunsigned(id_hash, 12).cast("double") + 0.5) / float(1 << 52)
-    narrow = durable(
-        docs.select(
-            "doc_id",
-            word_count(F.col("text")).alias("size"),
-            "source",
-            (-F.log(uniform) / quality_weight(F.col("text"))).alias("key"),
-            F.xxhash64("text").alias("text_hash"),
-        ).withColumn("band", F.floor(F.log2("key") * BANDS))
-    )
+    added = ("__id", "__size", "__band", "__key", "__hash")
+    keyed = docs.withColumns(dict(zip(added, _keys(seed), strict=True)))
+    narrow = durable(keyed.select("source", *added))
     targets = _targets(narrow, weights, share, most)
-    targets = targets if targets.count() > BROADCAST_SOURCES else F.broadcast(targets)
-
-    source = F.struct("source").alias("of")  # a struct is never null, so null sources join
-    banded = narrow.groupBy("source", "band").agg(F.sum("size").alias("band_size"))
-    run = Window.partitionBy("source").orderBy("band")
-    before = F.coalesce(F.sum("band_size").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bands = banded.withColumn("before", before).select(source, "band", "band_size", "before").join(targets.select("of", "rest"), "of")
-    cut = bands.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("band_size") >= F.col("rest"))).select("of", F.col("band").alias("cut_band"), "before")
-
-    ends = targets.join(cut, "of", "left")  # no cut: nothing is left over to fill
-    ends = F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends
-    rows = narrow.withColumn("of", F.struct("source")).join(ends, "of")
-    whole_bands = F.when(F.col("band") < F.col("cut_band"), F.col("size")).otherwise(F.lit(0))
-    clear = rows.where(F.col("cut_band").isNull() | (F.col("band") != F.col("cut_band"))).withColumn("part", F.coalesce(whole_bands, F.lit(0)))
-    order = Window.partitionBy("of").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    inside = rows.where(F.col("band") == F.col("cut_band")).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - so_far)))
-    return clear.unionByName(inside).select(
-        "doc_id",
-        "size",
-        "source",
-        "source_size",
-        "target",
-        F.col("epochs").cast("int").alias("epochs"),
-        (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"),
+
+    banded = narrow.groupBy("source", "__band").agg(F.sum("__size").alias("band_size"))
+    run = Window.partitionBy("source").orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("band_size").over(run), F.lit(0))
+    bands = banded.select(_of("source"), "__band", "band_size", before.alias("before")).join(targets.select("of", "rest"), "of")
+    cut = durable(bands.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("band_size") >= F.col("rest"))).select("of", F.col("__band").alias("cut_band"), "before", "rest"))
+
+    # In the band where the budget ends: the first key at which the running sum reaches it.
+    order = ["__key", "__id", "__hash"]
+    inside = narrow.select(_of("source"), "__band", "__size", *order).join(cut, "of").where(F.col("__band") == F.col("cut_band"))
+    alike = inside.groupBy("of", "before", "rest", *order).agg(F.sum("__size").alias("sum"), F.count("*").alias("rows"))
+    so_far = F.col("before") + F.coalesce(F.sum("sum").over(Window.partitionBy("of").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = alike.withColumn("so_far", so_far).where((F.col("so_far") < F.col("rest")) & (F.col("so_far") + F.col("sum") >= F.col("rest")))
+    end = F.struct(F.struct("__key", "__id", "__hash").alias("at"), F.floor((F.col("rest") - F.col("so_far")) / F.col("rows")).alias("part")).alias("__end")
+    plan = targets.join(cut.select("of", "cut_band"), "of", "left").join(ends.select("of", end), "of", "left")
+    plan = plan.select(F.col("of").alias("__of"), F.col("cut_band").alias("__cut"), "__end", *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "epochs")))
+    plan = F.broadcast(plan) if targets.count() <= BROADCAST_SOURCES else plan
+
+    here = F.struct("__key", "__id", "__hash")
+    part = (
+        F.when(F.col("__cut").isNull(), 0)  # nothing is left over to fill
+        .when(F.col("__band") != F.col("__cut"), F.when(F.col("__band") < F.col("__cut"), F.col("__size")).otherwise(0))
+        .when(here < F.col("__end.at"), F.col("__size"))
+        .when(here == F.col("__end.at"), F.col("__end.part"))
+        .otherwise(0)
     )
+    new = {
+        "size": F.col("__size"),
+        "source_size": F.col("__source_size"),
+        "target": F.col("__target"),
+        "epochs": F.col("__epochs").cast("int"),
+        "taken": (F.col("__epochs") * F.col("__size") + part).cast("long"),
+    }
+    rows = keyed.drop(*new).withColumn("__of", F.struct("source")).join(plan, "__of")
+    return rows.select(*(c for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
+
+
+def _of(source: str) -> Column:
+    return F.struct(F.col(source).alias("source")).alias("of")  # a struct is never null, so null sources join
+
+
+def _keys(seed: int) -> tuple[Column, ...]:
+    """id (null as the largest), size, band, key and text hash of a row."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 12).cast("double") + 0.5) / float(1 << 52)
+    key = -F.log(uniform) / quality_weight(F.col("text"))
+    return F.coalesce("doc_id", F.lit((1 << 63) - 1)), word_count(F.col("text")), F.floor(F.log2(key) * BANDS), key, F.xxhash64("text")
 
 
 def _targets(narrow: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -109,7 +122,7 @@ def _targets(narrow: DataFrame, weights: Sequence[float], share: float, most: fl
     Water filling looks at all sources at once. There is a row per source, not per document.
     """
     spark = narrow.sparkSession
-    sizes = sorted(((r["source"], r["size"] or 0) for r in narrow.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    sizes = sorted(((r["source"], r["size"] or 0) for r in narrow.groupBy("source").agg(F.sum("__size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     size = dict(sizes)
     weight = {k: float(weights[i % len(weights)]) for i, (k, _) in enumerate(sizes)}
     target = water_fill(size, weight, share * sum(size.values()), most)
@@ -122,4 +135,5 @@ def _targets(narrow: DataFrame, weights: Sequence[float], share: float, most: fl
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")

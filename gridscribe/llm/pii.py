@@ -151,7 +151,7 @@ def row_id() -> Column:
 def sanitise(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """`docs` with each entity replaced by its kind in brackets, generalised terms by [TERM], removed terms by nothing.
 
-    Every row stays, with all its columns; only `text` changes, and a null text stays null. Overlapping spans are
+    Every row stays, with all its columns; only `text` changes, and a column n_chars with it; a null text stays null. Overlapping spans are
     replaced as one, by the first one's replacement. An empty table gives no rows; repeated rows come out alike.
     """
     _, terms = find_personal_data(docs, support, generalise_at, remove_at)
@@ -172,7 +172,8 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GEN
     rest = F.substring(F.col("text"), F.col("__done.at") + 1, F.length("text"))
     clean = F.when(F.size("__edits") > 0, F.concat(F.array_join("__done.out", ""), rest)).otherwise(F.col("text"))
     done = met.withColumn("__edits", edits).withColumn("__done", F.aggregate("__edits", start, step))
-    return done.withColumn("text", clean).select(*docs.columns)
+    changed = {"text": clean} | ({"n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return done.withColumns(changed).select(*docs.columns)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
