@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language_id, license_scan, mixing, pii, substring_dedup, url_filter
+from . import decontamination, jaccard, language_id, license_scan, media, mixing, pii, quality, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_webp": media.op6_webp,
+        "op7_quality": quality.op7_quality,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_language_id": language_id.op9_language_id,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
