@@ -106,7 +106,7 @@ def _key_rows(df: DataFrame, *names: str) -> DataFrame:
 
 
 def duplicate_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """id, twin, spans (first word, end word; sorted, apart) for each row of `_keyed` rows that has factors."""
+    """id, twin, factors (first word, end word; no more than the text has blocks and runs) for each row of `_keyed` rows that has any."""
     spark = keyed.sparkSession
     prepare(spark)
     rows = keyed.where(F.length("text") >= 2 * window - 1).select("id", "twin", "text")
@@ -162,13 +162,17 @@ def duplicate_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     earliest = single.groupBy("anchor", "run").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
     checked = single.join(earliest, ["anchor", "run"]).where(later).select("id", "twin", "at", (F.col("at") + window).alias("end"))
 
-    def factors(group: pa.Table) -> pa.Table:
-        at, end = group["at"].to_numpy(), group["end"].to_numpy()
-        edges = np.diff(np.r_[False, covered(int(end.max()), at, end), False].astype(np.int8))
-        spans = [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
-        return pa.table({"id": group["id"].slice(0, 1), "twin": group["twin"].slice(0, 1), "spans": pa.array([spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))})
+    factor = F.struct(F.col("at").cast("int").alias("begin"), F.col("end").cast("int").alias("end"))
+    return whole.unionByName(checked).groupBy("id", "twin").agg(F.collect_list(factor).alias("factors"))
 
-    return whole.unionByName(checked).groupBy("id", "twin").applyInArrow(factors, "id long, twin long, spans array<struct<begin: long, end: long>>")
+
+def joined_spans(factors: list[dict] | None, n_words: int) -> list[dict]:
+    """Spans of words that lie in a factor: sorted, apart."""
+    if not factors:
+        return []
+    at, end = np.array([f["begin"] for f in factors]), np.array([f["end"] for f in factors])
+    edges = np.diff(np.r_[False, covered(n_words, at, end), False].astype(np.int8))
+    return [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
 
 
 def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -193,23 +197,27 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GR
 
         return keyed.mapInArrow(part, keyed.schema)
 
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
     def cut(batches):
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, own in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+            n_words, n_removed, kept, spans = [], [], [], []
+            for text, factors in zip(batch["text"].to_pylist(), batch["factors"].to_pylist(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes: parts at the six ASCII blanks alone
+                own = joined_spans(factors, len(words))
                 left, done = [], 0
-                for s in own or ():
+                for s in own:
                     left += words[done : s["begin"]]
                     done = s["end"]
                 left += words[done:]
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch["spans"]], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+                spans.append(own)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    met = parted(True).join(spans, ["id", "twin"], "left").select("doc_id", "text", "spans")
-    free = parted(False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    met = parted(True).join(spans, ["id", "twin"], "left").select("doc_id", "text", "factors")
+    free = parted(False).select("doc_id", "text", F.lit(None).cast(spans.schema["factors"].dataType).alias("factors"))
     schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<begin: long, end: long>>"
     return met.mapInArrow(cut, schema).unionAll(free.mapInArrow(cut, schema))
 
