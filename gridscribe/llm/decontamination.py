@@ -35,16 +35,21 @@ ITEMS_A_PASS = 20_000
 
 
 class Family:
+    """MinHash values of 32 bits: enough to propose, as the exact sets decide."""
+
     def __init__(self, size: int = HASHES, seed: int = 6):
         rng = np.random.default_rng(seed)
-        draw = lambda: rng.integers(0, 1 << 63, size, dtype=np.uint64)
-        self.a, self.b = draw() * np.uint64(2) + np.uint64(1), draw() * np.uint64(2)
+        draw = lambda: rng.integers(0, 1 << 31, size, dtype=np.uint32)
+        self.a, self.b = draw() * np.uint32(2) + np.uint32(1), draw() * np.uint32(2)
 
     def minima(self, values: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        out = np.empty((len(begins), len(self.a)), np.uint64)
-        high = values ^ (values >> np.uint64(32))
+        """A row of minima for each hash, a column for each run of values."""
+        out = np.empty((len(self.a), len(begins)), np.uint32)
+        high, moved = (values >> np.uint64(32)).astype(np.uint32), np.empty(len(values), np.uint32)
         for k in range(len(self.a)):
-            out[:, k] = np.minimum.reduceat(high * self.a[k] + self.b[k], begins)
+            np.multiply(high, self.a[k], out=moved)
+            moved += self.b[k]
+            np.minimum.reduceat(moved, begins, out=out[k])
         return out
 
 
@@ -58,10 +63,13 @@ def bands_for(item: int, segment: int, threshold: float, recall: float, hashes:
 
 
 def band_hashes(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    parts = minima[:, : bands * rows].reshape(len(minima), bands, rows)
-    acc = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64), 8), parts.shape[:2]).copy()
-    for r in range(rows):
-        acc = (acc ^ parts[:, :, r]) * np.uint64(_odd(90 + r))
+    """A row for each band, from minima with a row for each hash."""
+    if rows == 1:
+        return minima[:bands]
+    parts = minima[: bands * rows].reshape(bands, rows, -1).astype(np.uint64)
+    acc = parts[:, 0]
+    for r in range(1, rows):
+        acc = mix(acc * np.uint64(_odd(90 + r)) + parts[:, r])
     return acc
 
 
@@ -104,8 +112,8 @@ class Index:
         if (most, rows) not in self.tables:
             own, minima = self.groups[most]
             hashes = band_hashes(minima, bands, rows)
-            order = np.argsort(hashes, axis=0, kind="stable")
-            self.tables[most, rows] = [(hashes[order[:, b], b], own[order[:, b]]) for b in range(bands)]
+            order = np.argsort(hashes, axis=1, kind="stable")
+            self.tables[most, rows] = [(hashes[b, order[b]], own[order[b]]) for b in range(bands)]
         return bands, rows, self.tables[most, rows]
 
     def candidates(self, words: Words, grams: np.ndarray) -> set[tuple[int, int]]:
@@ -126,7 +134,7 @@ class Index:
             last = words.first[owner] + count[owner]
             edges = np.empty(2 * len(begins), np.int64)
             edges[::2], edges[1::2] = begins, np.minimum(begins + BLOCK, last)
-            minima = self.family.minima(np.append(grams, np.uint64(0)), edges)[::2]
+            minima = np.ascontiguousarray(self.family.minima(np.append(grams, np.uint64(0)), edges)[:, ::2])
             self._segments(found, minima, owner, within, count)
         return found
 
@@ -135,8 +143,10 @@ class Index:
         for most in sorted(self.groups):
             reach = most // 2
             while have < reach:  # minima over twice as many blocks, within a text
-                same = np.flatnonzero(owner[have:] == owner[:-have])
-                minima[same] = np.minimum(minima[same], minima[same + have])
+                ends = np.flatnonzero(owner[have:] != owner[:-have])
+                kept = minima[:, ends]
+                np.minimum(minima[:, :-have], minima[:, have:], out=minima[:, :-have])  # reads ahead of what it writes
+                minima[:, ends] = kept
                 have *= 2
             stride = reach - -(-most // BLOCK) - 1
             at = np.flatnonzero(within % stride == 0)
@@ -145,10 +155,10 @@ class Index:
             for u in np.unique(part):
                 mine = at[part == u]
                 bands, rows, tables = self.lookup(most, int(u))
-                hashes = band_hashes(minima[mine], bands, rows)
+                hashes = band_hashes(minima[:, mine], bands, rows)
                 for b, (known, own) in enumerate(tables):
-                    hit = np.flatnonzero(_among(known, hashes[:, b]))
-                    _expand(found, hashes[hit, b], owner[mine[hit]], known, own)
+                    hit = np.flatnonzero(_among(known, hashes[b]))
+                    _expand(found, hashes[b, hit], owner[mine[hit]], known, own)
 
     def verified(self, words: Words, grams: np.ndarray, candidates: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
         """(text, item id, shingles of the item, those in the text) of the pairs at or over the threshold."""
