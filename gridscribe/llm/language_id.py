@@ -177,10 +177,15 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
-    """Model of a bounded sample of `labelled` (doc_id, text, lang): rows of least hash, rows with a null left out."""
-    rows = labelled.where("lang is not null and length(text) > 0").where(F.length("text") <= s.sample_chars)
-    drawn = rows.orderBy(F.xxhash64(F.lit(s.seed), "doc_id", "text"), "lang").limit(s.sample_rows).select("text", "lang").collect()
-    return train([(r["text"], r["lang"]) for r in drawn], s)
+    """Model of a bounded sample of `labelled` (doc_id, text, lang): rows of least hash, rows with a null left out.
+
+    Only hashes are ranked; texts come to the driver for the sample alone.
+    """
+    hashed = labelled.where(F.col("lang").isNotNull() & F.length("text").between(1, s.sample_chars)).withColumn("__at", F.xxhash64(F.lit(s.seed), "doc_id"))
+    last = hashed.select("__at").orderBy("__at").limit(s.sample_rows).agg(F.max("__at")).first()[0]
+    drawn = hashed.where(F.col("__at") <= last).select("__at", "text", "lang").collect() if last is not None else []
+    drawn.sort(key=lambda r: (r["__at"], r["lang"], r["text"]))
+    return train([(r["text"], r["lang"]) for r in drawn[: s.sample_rows]], s)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
