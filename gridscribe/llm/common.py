@@ -16,7 +16,7 @@ from gridscribe.session import ship_code
 #: Characters that part words: blank, tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 #: Bytes of text that one numpy step works on; arrays of eight bytes a byte stay in the cache.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
