@@ -32,6 +32,7 @@ class Settings:
     buckets: int = 1 << 15
     width: int = 16
     epochs: int = 12
+    least_steps: int = 600  # more epochs, if few rows are labelled
     batch: int = 32
     rate: float = 20.0
     sample_rows: int = 1500
@@ -120,8 +121,9 @@ def train(rows: list[tuple[str, str]], s: Settings) -> Model:
     embed = (rng.random((s.buckets, s.width), np.float32) - 0.5) / s.width
     layer = np.zeros((s.width, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
-    for epoch in range(s.epochs):
-        rate = s.rate * (1 - epoch / s.epochs)
+    epochs = max(s.epochs, -(-s.least_steps * s.batch // len(fit)))
+    for epoch in range(epochs):
+        rate = s.rate * (1 - epoch / epochs)
         order = rng.permutation(fit)
         for a in range(0, len(order), s.batch):
             at = order[a : a + s.batch]

@@ -31,6 +31,7 @@ class Settings:
     chunk: int = 512
     overlap: int = 64
     epochs: int = 12
+    least_steps: int = 500  # more epochs, if few rows are labelled
     batch: int = 16
     rate: float = 0.004
     decay: float = 1e-4
@@ -142,9 +143,10 @@ def train(rows: list[tuple[str, int]], s: Settings = Settings()) -> Weights:
     share = float(np.clip(y.mean(), 0.01, 0.99))
     w["offset"][:] = np.log(share / (1 - share))
     m, v, t = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}, 0
-    for epoch in range(s.epochs):
+    epochs = max(s.epochs, -(-s.least_steps * s.batch // len(rows)))
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        rate = s.rate * (1 - epoch / s.epochs)
+        rate = s.rate * (1 - epoch / epochs)
         for a in range(0, len(order), s.batch):
             at = order[a : a + s.batch]
             t += 1
