@@ -19,14 +19,20 @@ def general(value: Column) -> Column:
     places = F.greatest(F.lit(0), 5 - size).cast("int")
     short = _places(value, places)
     trimmed = F.when(F.contains(short, F.lit(".")), F.regexp_replace(F.regexp_replace(short, "0+$", ""), r"\.$", "")).otherwise(short)
-    mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.format_string("%.5e", value.cast("double")), r"^(.*)e", 1), "0+$", ""), r"\.$", "")
-    power = F.regexp_extract(F.format_string("%.5e", value.cast("double")), r"e(.*)$", 1)
+    # Six digits as a whole number, half to even; rounding up to seven moves the exponent.
+    six = F.bround(F.abs(value) / F.pow(F.lit(10.0), size - 5)).cast("long")
+    more = (six == 1_000_000).cast("int")
+    digits = F.when(more == 1, "100000").otherwise(six.cast("string"))
+    mantissa = F.regexp_replace(F.regexp_replace(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5)), "0+$", ""), r"\.$", "")
+    exponent = size + more
+    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    mantissa = F.concat(F.when(value < 0, "-").otherwise(""), mantissa)
     return F.when(value == 0, "0").when((size >= 6) | (size < -4), F.concat(mantissa, F.lit("e"), power)).otherwise(trimmed)
 
 
 def _places(value: Column, places: Column) -> Column:
     """Fixed places, rounded half to even on the exact value."""
-    return F.replace(F.format_number(value.cast("double"), places), F.lit(","), F.lit(""))
+    return F.replace(F.call_function("format_number", value.cast("double"), places), F.lit(","), F.lit(""))
 
 
 def number_text(value: Column, fmt: Column | str = "General") -> Column:
@@ -37,10 +43,10 @@ def number_text(value: Column, fmt: Column | str = "General") -> Column:
     shown = F.when(percent, value * 100).otherwise(value)
     grouped = F.contains(fmt, F.lit("#,#")) | F.contains(fmt, F.lit("0,0"))
     places = decimals(fmt)
-    with_groups = F.format_number(shown, places)
+    with_groups = F.call_function("format_number", shown, places)
     whole = F.format_number(shown, 0)
     fixed = F.when(grouped, with_groups).otherwise(F.replace(with_groups, F.lit(","), F.lit("")))
-    free = F.when(grouped, F.format_number(shown, "#,##0.################")).otherwise(general(shown))
+    free = F.when(grouped, F.call_function("format_number", shown, F.lit("#,##0.################"))).otherwise(general(shown))
     integer = F.when(grouped, whole).otherwise(F.replace(whole, F.lit(","), F.lit("")))
     body = F.when(places > 0, fixed).when(shown == F.floor(shown), integer).otherwise(free)
     return F.when(value.isNotNull(), F.concat(body, F.when(percent, "%").otherwise("")))
