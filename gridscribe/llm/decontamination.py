@@ -240,3 +240,17 @@ def _search(docs: DataFrame, items: DataFrame, n: int, threshold: float, recall:
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLE_SQL = rf"""
+WITH item AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+  width AS (SELECT item_id, words, least({SHINGLE}, len(words)) AS w FROM item WHERE len(words) > 0),
+  wanted AS (SELECT DISTINCT item_id, w, array_to_string(list_slice(words, i, i + w - 1), ' ') AS shingle FROM (SELECT *, unnest(range(1, len(words) - w + 2)) AS i FROM width)),
+  sizes AS (SELECT item_id, count(*) AS n_shingles FROM wanted GROUP BY item_id),
+  doc AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+  had AS (SELECT doc_id, w, array_to_string(list_slice(words, i, i + w - 1), ' ') AS shingle
+    FROM (SELECT doc_id, words, w, unnest(range(1, len(words) - w + 2)) AS i FROM doc, (SELECT DISTINCT w FROM width))),
+  shared AS (SELECT doc_id, item_id, count(DISTINCT shingle) AS n_shared FROM had JOIN wanted USING (w, shingle) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM shared JOIN sizes USING (item_id) WHERE n_shared >= {THRESHOLD} * n_shingles
+"""

@@ -316,3 +316,19 @@ def _common(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + w - 1), ' ') AS shingle
+    FROM (SELECT doc_id, words, w, unnest(range(1, len(words) - w + 2)) AS i FROM (SELECT *, least({SHINGLE}, len(words)) AS w FROM doc WHERE len(words) > 0))),
+  sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+  links AS MATERIALIZED (SELECT a, b, shared.n = x.n AND x.n = y.n AS alike FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 10 * shared.n >= {round(10 * THRESHOLD)} * (x.n + y.n - shared.n)),
+  reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node),
+  classes AS (SELECT node AS doc_id, min(root) AS class_id FROM reach GROUP BY node),
+  counts AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (alike) AS n_copies FROM links GROUP BY a)
+SELECT c.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 0)::BIGINT AS n_copies, coalesce(s.n, 0)::BIGINT AS n_shingles
+FROM classes c LEFT JOIN counts USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+"""

@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL}
+    return {
+        "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op5_url_filter": url_filter.ORACLE_SQL,
+        "op8_decontamination": decontamination.ORACLE_SQL,
+        "op10_jaccard_join": jaccard.ORACLE_SQL,
+    }
