@@ -27,6 +27,7 @@ def wrap(lines: list[str], width: float, size: float = 1.0, widths: dict[str, fl
         inner = line.lstrip(" ")
         lead = " " * (len(line) - len(inner))
         hang = lead + "  " * (inner[:2] in ("- ", "+ ", "* "))
+        lead, hang = (x if measure(x) + size <= width else "" for x in (lead, hang))  # no indent leaves less than a character
         current = lead
         fresh = True  # nothing but the indent stands on the current line
         for word in inner.split(" "):

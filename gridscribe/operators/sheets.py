@@ -47,7 +47,7 @@ def block_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
     row, col = F.col("row") - F.col("first_row"), F.col("col") - F.col("first_col")
     row_span = F.least(F.coalesce("max_row", "row"), F.col("last_row")) - F.col("row") + 1
     col_span = F.least(F.coalesce("max_col", "col"), F.col("last_col")) - F.col("col") + 1
-    texts = F.filter(F.transform(F.split("text", r"\r?\n"), F.trim), lambda t: t != "")
+    texts = F.filter(F.transform(F.split("text", r"\r?\n"), lambda t: F.trim(t)), lambda t: t != "")
     x0, top = col * 120.0, row * 52.0
     line = lambda t, k: F.struct(t.alias("text"), x0.alias("x0"), (x0 + 1).alias("x1"), (top + 10.0 * k).alias("top"), (top + 10.0 * (k + 1)).alias("bottom"))
     return met.select(
