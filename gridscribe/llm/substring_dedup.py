@@ -159,7 +159,8 @@ def duplicate_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["id", "twin", "at", "anchor", "run"])
 
     single = stored(rows.mapInArrow(runs_of, "id long, twin long, at long, anchor long, run long"))
-    earliest = single.groupBy("anchor", "run").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
+    # Stored, so that the join has an exchange on either side and Spark can split a run that very many texts have.
+    earliest = stored(single.groupBy("anchor", "run").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places"))
     checked = single.join(earliest, ["anchor", "run"]).where(later).select("id", "twin", "at", (F.col("at") + window).alias("end"))
 
     factor = F.struct(F.col("at").cast("int").alias("begin"), F.col("end").cast("int").alias("end"))
