@@ -15,7 +15,7 @@ from gridscribe.llm.common import stored, table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model, learnt from the labelled ones, recognises."""
     named = language_id.identify(docs, language_id.fit(docs))
-    return named.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return named.where(~F.col("lang_rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

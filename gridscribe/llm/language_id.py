@@ -5,14 +5,14 @@ buckets. Their embeddings are averaged over the whole text and a linear layer gi
 stochastic gradient descent. As the layer is linear, embeddings times layer is one small table of scores
 per bucket, and that table is all that executors need.
 
-Rejection is calibrated on labelled texts that the descent did not see: a temperature makes the winning probability
-match how often it is right, and a text is rejected (`und`) if it has no letter, or if its probability is under a
+Rejection is calibrated on labelled texts that the descent did not see, whole and in pieces of a few words: a temperature makes the winning probability
+match how often it is right, and a text is rejected if it has no letter (it is `und`), or if its probability is under a
 threshold that all but a stated share of those texts pass.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +137,27 @@ def train(rows: list[tuple[str, str]], s: Settings) -> Model:
             used = np.flatnonzero(x[at].any(axis=0))
             embed[used] -= np.float32(rate) * (x[np.ix_(at, used)].T @ back)
     scores = embed @ layer
-    seen = np.arange(held) if held else fit
-    temperature, least = _calibrated(x[seen] @ scores + bias, y[seen], s.rejected_share)
-    return Model(languages, scores.astype(np.float32), bias, temperature, least, s)
+    seen = [rows[k] for k in (range(held) if held else fit)]
+    pieces = [(piece, lang) for text, lang in seen for piece in _pieces(text, rng)]
+    model = Model(languages, scores.astype(np.float32), bias, 1.0, 0.0, s)
+    logits, count = _logits(model, [t for t, _ in pieces])
+    named = np.array([languages.index(lang) for _, lang in pieces])
+    temperature, least = _calibrated(logits[count > 0], named[count > 0], s.rejected_share) if (count > 0).any() else (1.0, 0.0)
+    return replace(model, temperature=temperature, least=least)
+
+
+def _pieces(text: str, rng: np.random.Generator, each: int = 3, words: int = 6) -> list[str]:
+    """The text, and some runs of a few of its words: whole texts alone are too easy to show how sure the model may be."""
+    parts = text.split()
+    out = [text]
+    for _ in range(each if parts else 0):
+        at, n = rng.integers(0, len(parts)), rng.integers(1, words + 1)
+        out.append(" ".join(parts[at : at + n]))
+    return out
 
 
 def _calibrated(logits: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Temperature with the least log loss; probability under which `share` of the rightly named texts fall."""
+    """Temperature with the least log loss; probability under which `share` of the rightly named texts and pieces fall."""
     loss = {t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in np.geomspace(0.05, 10, 40)}
     best = min(loss, key=loss.get)
     p = _softmax(logits / best)
@@ -157,25 +171,30 @@ def _calibrated(logits: np.ndarray, y: np.ndarray, share: float) -> tuple[float,
 # --- prediction ---------------------------------------------------------------------------------
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language (or `und`) and the probability of the likeliest one, for each text."""
+def _logits(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the languages and number of features, for each text."""
     n, k = len(texts), len(model.languages)
-    total = np.zeros((n, k))
-    count = np.zeros(n)
+    total, count = np.zeros((n, k)), np.zeros(n)
     for a, b in slices(texts):
         own, of = features(texts[a:b], model.settings)
-        if k:
-            for column in range(k):
-                total[a:b, column] = np.bincount(of, model.scores[own, column], minlength=b - a)
+        for column in range(k):
+            total[a:b, column] = np.bincount(of, model.scores[own, column], minlength=b - a)
         count[a:b] = np.bincount(of, minlength=b - a)
-    if not k:
-        return [UNKNOWN] * n, np.zeros(n)
-    p = _softmax((total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
+    return total / np.maximum(count, 1)[:, None] + model.bias, count
+
+
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The likeliest language (`und` without a letter), its probability, and whether the model rejects it, for each text."""
+    n = len(texts)
+    if not model.languages:
+        return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
+    logits, count = _logits(model, texts)
+    p = _softmax(logits / model.temperature)
     best = p.argmax(axis=1)
     score = np.clip(p.max(axis=1), 0.0, 1.0)
-    known = [c > 0 and has_letter(t) for c, t in zip(count, texts, strict=True)]
-    langs = [model.languages[i] if ok and q >= model.least else UNKNOWN for i, ok, q in zip(best, known, score, strict=True)]
-    return langs, np.where(known, score, 0.0)
+    known = np.array([c > 0 and has_letter(t) for c, t in zip(count, texts, strict=True)], bool)
+    langs = [model.languages[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)]
+    return langs, np.where(known, score, 0.0), ~known | (score < model.least)
 
 
 def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
@@ -191,21 +210,22 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of `docs` (with a column text) with lang_pred and lang_score, which replace columns of these names.
+    """Rows of `docs` (with a column text) with lang_pred, lang_score and lang_rejected, which replace columns of these names.
 
-    `und`, with the score it would have had, is a text that the model rejects; with score 0, one that is null or has no letter, or any
-    text if nothing was labelled. An empty table gives no rows; repeated rows are named alike; ties go to the first language by name.
+    A text that is null or has no letter, or any text if nothing was labelled, is `und`, has score 0 and is rejected; one under
+    the calibrated threshold is rejected under its likeliest name. An empty table gives no rows; repeated rows are named alike;
+    ties go to the first language by name.
     """
     prepare(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "lang_score")
+    kept = docs.drop("lang_pred", "lang_score", "lang_rejected")
 
     def name(batches):
         for batch in batches:
-            langs, score = predict(cast.value, batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            langs, score, rejected = predict(cast.value, batch["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
-    schema = kept.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
+    schema = kept.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_rejected": F.lit(True)}).schema
     return kept.mapInArrow(name, schema)
 
 
@@ -218,4 +238,4 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold() == 2, F.lit(False))
     model = fit(docs.where(~held_out))
     named = identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
-    return named.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return named.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))

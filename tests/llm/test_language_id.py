@@ -21,15 +21,22 @@ def rows(seed, n):
 def test_held_out_accuracy():
     model = train(rows(0, 60), Settings())
     held = rows(10_000, 40)
-    langs, score = predict(model, [t for t, _ in held])
+    langs, score, rejected = predict(model, [t for t, _ in held])
     assert np.mean([a == b for a, (_, b) in zip(langs, held)]) > 0.97
-    assert ((score >= 0) & (score <= 1)).all()
+    assert ((score >= 0) & (score <= 1)).all() and rejected.mean() < 0.05
 
 
 def test_rejects_what_has_no_letter():
     model = train(rows(0, 40), Settings(epochs=4))
-    langs, score = predict(model, [None, "", "123 456 .", "٣٤", "keit keit"])
-    assert langs[:4] == ["und"] * 4 and langs[4] != "und" and list(score[:4]) == [0, 0, 0, 0]
+    langs, score, rejected = predict(model, [None, "", "123 456 .", "٣٤", "keit keit"])
+    assert langs[:4] == ["und"] * 4 and langs[4] != "und" and list(score[:4]) == [0, 0, 0, 0] and rejected[:4].all()
+
+
+def test_low_confidence_is_rejected_under_its_name():
+    model = train(rows(0, 40), Settings(epochs=4))
+    half = text("aa", 5, 40) + " " + text("bb", 6, 40) + " " + text("cc", 7, 40)
+    langs, score, rejected = predict(model, [half, text("aa", 8, 80)])
+    assert langs[0] in model.languages and score[0] < score[1] and not rejected[1]
 
 
 def test_features_are_of_the_whole_text_and_do_not_cross_texts():
@@ -49,7 +56,7 @@ def test_frame(spark):
     model = fit(df, Settings(epochs=6))
     assert model.languages[:2] == ("aa", "bb")
     got = identify(df, model)
-    assert set(df.columns) | {"lang_score"} == set(got.columns)
+    assert set(df.columns) | {"lang_score", "lang_rejected"} == set(got.columns)
     out = got.collect()
     assert len(out) == len(made) + len(odd_rows())
     assert all(r["lang_pred"] == "und" for r in out if not (r["text"] or "").strip())
