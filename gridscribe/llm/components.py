@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import stored
 
 
 def _to_least(pairs: DataFrame, keep) -> DataFrame:
     """For each u of the pairs (u, v): u's least neighbour, itself included, joined to the neighbours that `keep` takes."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    # Stored, so that the join has an exchange on either side and Spark can split a node with very many neighbours.
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")))
     return pairs.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
@@ -19,18 +20,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     The least neighbour of a node is an aggregate with map-side combining, and the join that hands it out is
     one that Spark can split where a node has very many neighbours. Each round's edges, never more
-    than the first, are cut off by a checkpoint; rounds are about logarithmic in the longest path.
+    than the first, are written to the shared folder; rounds are about logarithmic in the longest path.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
-    ends = durable(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    ends = stored(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(ends)
     while mark[0]:
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both, F.col("v") > F.col("u")).where("u != v")
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("least"))
+        large = stored(large)
+        least = stored(large.groupBy("u").agg(F.min("v").alias("least")))
         small = large.join(least, "u").where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
-        ends = durable(small.unionByName(least.select("u", F.col("least").alias("v"))).distinct())
+        ends = stored(small.unionByName(least.select("u", F.col("least").alias("v"))).distinct())
         now = _mark(ends)
         if now == mark:
             break
