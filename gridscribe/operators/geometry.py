@@ -6,9 +6,12 @@ with the neighbour is a window; what compares with the last kept or first member
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridscribe.session import ship_code
+
 PAGE = ["doc_id", "page"]
 
 
@@ -26,7 +29,7 @@ def overlap(a: str, b: str) -> Column:
 
 def upper_median(values: Column) -> Column:
     """The middle of the sorted values, the upper one of two."""
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+    return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
 # --- edges ------------------------------------------------------------------------------------------------------
@@ -242,19 +245,30 @@ def _snapped(rules: DataFrame, value: str, tolerance: float) -> DataFrame:
     return pieces.groupBy(*PAGE, "__c", "__p").agg(F.first(value).alias(value), F.min("a").alias("a"), F.max("b").alias("b")).drop("__c", "__p")
 
 
-def tables_of_cells(cells: DataFrame, rounds: int = 64) -> DataFrame:
-    """`cells` with `table_id`: cells that share a corner are one table. Least labels spread over shared corners until none changes."""
-    corner = F.explode(F.array(*(F.struct(F.round(x, 0).alias("x"), F.round(y, 0).alias("y")) for x in ("x0", "x1") for y in ("top", "bottom")))).alias("corner")
-    labelled = cells.withColumn("label", F.struct("top", "x0"))
-    for _ in range(rounds):
-        at = labelled.select("*", corner)
-        shared = at.groupBy(*PAGE, "corner").agg(F.min("label").alias("least"))
-        spread = at.join(shared, [*PAGE, "corner"]).groupBy(*PAGE, "x0", "top", "x1", "bottom").agg(F.min("least").alias("least"), F.first("label").alias("label"))
-        labelled = spread.select(*PAGE, "x0", "top", "x1", "bottom", F.col("least").alias("label")).cache()
-        if spread.where("least != label").limit(1).count() == 0:
-            break
-    name = F.concat_ws("/", "doc_id", "page", F.col("label.top").cast("decimal(12,1)"), F.col("label.x0").cast("decimal(12,1)"))
-    return labelled.withColumn("table_id", name).drop("label")
+def tables_of_cells(cells: DataFrame) -> DataFrame:
+    """`cells` (doc_id, page, x0, top, x1, bottom) with `table_id`: cells that share a corner are one table. One group a page, which a page bounds."""
+    ship_code(cells.sparkSession)
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["top", "x0"]).reset_index(drop=True)
+        root = list(range(len(group)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        seen: dict[tuple[int, int], int] = {}
+        for k, c in enumerate(group.itertuples()):
+            for corner in {(round(x), round(y)) for x in (c.x0, c.x1) for y in (c.top, c.bottom)}:
+                a, b = sorted((find(k), find(seen.setdefault(corner, k))))
+                root[b] = a
+        at = [find(k) for k in range(len(group))]
+        names = [f"{c.doc_id}/{c.page}/{group['top'][a]:.1f}/{group['x0'][a]:.1f}" for c, a in zip(group.itertuples(), at, strict=True)]
+        return group.assign(table_id=names)[["doc_id", "page", "x0", "top", "x1", "bottom", "table_id"]]
+
+    kind = "doc_id string, page int, x0 double, top double, x1 double, bottom double, table_id string"
+    return cells.groupBy(*PAGE).applyInPandas(join, kind)
 
 
 def gutters(words: DataFrame, wide: int = 7, inset: int = 12) -> DataFrame:
