@@ -6,7 +6,6 @@ and end. Questions such as "does a column split at this boundary" are then array
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from dataclasses import dataclass, field, replace
 
@@ -359,6 +358,47 @@ def flatten_grid(grid: Grid, before: list[str] | None = None, structure: tuple[i
     return L.tidy(with_missing(whole, out, first)), headers, structure
 
 
+# --- headers that the file states -------------------------------------------------------------------------------
+
+
+def _names_columns(row: list[Cell]) -> bool:
+    filled = [c for c in row if c.filled]
+    return bool(filled) and all(len(L.squeeze(c.text)) <= LABEL_CHARS and not L.is_bullet(L.squeeze(c.text)) for c in filled) and not all(L.NUMERIC.fullmatch(c.text.strip()) for c in filled)
+
+
+def stated_rows(grid: Grid, declared: int) -> int:
+    """Header rows by what the file says: rows it repeats on each page, or a merged first row that names every column; 0 if it says nothing."""
+    if min(grid.n_rows, grid.n_cols) < 2 or not _names_columns(grid.row(0)):
+        return 0
+    if declared:
+        return min(declared, grid.n_rows - 1, BAND_ROWS)
+    top = [c for c in grid.row(0) if c.filled]
+    merged = {col for c in top if c.col_span > 1 for col in c.columns}
+    if not merged or len({col for c in top for col in c.columns}) < grid.n_cols:
+        return 0
+    second = [c for c in grid.row(1) if c.filled] if grid.n_rows > 2 else []
+    return 2 if len(second) > 1 and _names_columns(second) and {c.col for c in second} <= merged else 1
+
+
+def stated_structure(grid: Grid, declared: int) -> tuple[Grid, tuple[int, bool] | None]:
+    """The grid with its stated header rows as one row of labels, and its structure; unchanged where geometry sees as much."""
+    band = stated_rows(grid, declared)
+    if band <= header_rows(fuse_slices(grid)):
+        return grid, None
+    names = [[] for _ in range(grid.n_cols)]
+    for cell in (c for r in range(band) for c in grid.row(r) if c.filled):
+        for col in cell.columns:
+            if col < grid.n_cols:
+                names[col].append(L.joined([x.text for x in cell.lines]))
+    width, gap = 120.0, 52.0
+    heads = [Cell(0, col, 1, 1, (col * width, 0.0, (col + 1) * width - 12, 40.0), (Line(text, col * width, col * width + 1, 0.0, 10.0),), (Item(0, text),)) for col, parts in enumerate(names) if (text := " ".join(parts))]
+    shift = band - 1
+    rest = [replace(c, row=c.row - shift, box=(c.col * width, (c.row - shift) * gap, (c.col + c.col_span) * width - 12, (c.row - shift + c.row_span) * gap - 12)) for c in grid.cells if c.row >= band]
+    made = Grid(grid.n_rows - shift, grid.n_cols, heads + rest)
+    found, named = structure_of(made)
+    return made, (found, named) if found else (1, labels_rows(logical_rows(made, 1), made.n_cols))
+
+
 # --- DataFrames ---------------------------------------------------------------------------------------------------
 
 
@@ -372,19 +412,24 @@ def grid_of(cells: pd.DataFrame) -> Grid:
     return Grid(max(c.last_row for c in made) + 1, max(c.col + c.col_span for c in made), made)
 
 
-def flatten_tables(cells: DataFrame, inherited: DataFrame | None = None) -> DataFrame:
-    """FLAT rows for every table of CELLS. `inherited` (doc_id, table_id, headers, structure as JSON [rows, labelled] or null) overrides what is found."""
+def flatten_tables(cells: DataFrame, inherited: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """FLAT rows for every table of CELLS, each table in one group.
+
+    `inherited` (doc_id, table_id, headers) has the headers of the page before; `declared` (doc_id, table_id, rows) the
+    header rows that a file states, and marks the tables of formats that could.
+    """
     ship_code(cells.sparkSession)
-    if inherited is None:
-        rows = cells.withColumns({"headers_before": F.lit(None).cast("array<string>"), "structure": F.lit(None).cast("string")})
-    else:
-        rows = cells.join(inherited.select("doc_id", "table_id", F.col("headers").alias("headers_before"), "structure"), ["doc_id", "table_id"], "left")
+    keys = ["doc_id", "table_id"]
+    none = cells.select(*keys).limit(0)
+    before = none.withColumn("before", F.lit(None).cast("array<string>")) if inherited is None else inherited.select(*keys, F.col("headers").alias("before"))
+    stated = none.withColumn("stated", F.lit(None).cast("int")) if declared is None else declared.select(*keys, F.col("rows").cast("int").alias("stated"))
+    rows = cells.join(before, keys, "left").join(stated, keys, "left")
 
     def flatten(group: pd.DataFrame) -> pd.DataFrame:
-        one = group.iloc[0]
-        before = None if one["headers_before"] is None else list(one["headers_before"])
-        given = json.loads(one["structure"]) if isinstance(one["structure"], str) else None
-        out, headers, (band, named) = flatten_grid(grid_of(group), before, tuple(given) if given else None)
+        one, grid, structure = group.iloc[0], grid_of(group), None
+        if pd.notna(one["stated"]):
+            grid, structure = stated_structure(grid, int(one["stated"]))
+        out, headers, (band, named) = flatten_grid(grid, None if one["before"] is None else list(one["before"]), structure)
         return pd.DataFrame([{"doc_id": one["doc_id"], "table_id": one["table_id"], "lines": out, "headers": headers, "header_rows": band, "label_column": bool(named)}])
 
-    return rows.groupBy("doc_id", "table_id").applyInPandas(flatten, FLAT)
+    return rows.groupBy(*keys).applyInPandas(flatten, FLAT)

@@ -1,13 +1,14 @@
-"""What a session needs before Python code of this package runs on executors."""
+"""What a session needs: this package on its executors, and durable cuts of lineage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -24,3 +25,21 @@ def ship_code(spark: SparkSession) -> None:
             z.write(path, path.relative_to(_ROOT.parent))
     context.addPyFile(str(bundle))
     context._gridscribe_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; only where it names none (tests), a folder of our own."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None:
+            named = tempfile.mkdtemp(prefix="gridscribe-checkpoint-")
+        context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: much smaller than a checkpoint, for many rows of numbers."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
