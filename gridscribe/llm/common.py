@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscribe.session import ship_code
+from gridscribe.session import shared_folder, ship_code, stored
+
+__all__ = ["Words", "as_long", "durable", "mix", "prepare", "shared_folder", "slices", "stored", "table", "word_count"]
 
 #: Characters that part words: blank, tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
@@ -29,32 +30,12 @@ def prepare(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; only where it names none (tests), a folder of our own."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="gridscribe-checkpoint-")
-        context.setCheckpointDir(named)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint; Spark removes it when nothing refers to it any more."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder: much smaller than a checkpoint, for many rows of numbers."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of runs of characters that are not blanks (null: 0), without an array of the words."""
     one_each = F.regexp_replace(text, f"[{SPACE}]*+[^{SPACE}]++[{SPACE}]*+", "x")
