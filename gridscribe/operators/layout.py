@@ -102,6 +102,14 @@ def spill_pages(lines: DataFrame, order: list[str], height: float, size: float =
     return lines.withColumn("spill_page", F.floor(k / per_page).cast("int"))
 
 
+def typography(chars: DataFrame, least: float = LEAST_SIZE, most: float = 12.0) -> DataFrame:
+    """box_id, font, size, serif: the most frequent font and size of a box's characters (box_id, pos, font, size), the first seen of equals; sizes are kept in bounds."""
+    keys = lambda c: chars.groupBy("box_id", c).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    top = lambda c: keys(c).groupBy("box_id").agg(F.max_by(c, F.struct("n", -F.col("first"))).alias(c))
+    met = top("font").join(top("size"), "box_id").withColumn("size", F.greatest(F.lit(least), F.least(F.lit(most), F.col("size"))))
+    return met.withColumn("serif", ~F.lower("font").rlike("arial|helvetica|calibri|sans"))
+
+
 def drawable(text: Column, glyphs: str) -> Column:
     """Characters without a glyph are drawn as a point."""
     escaped = "".join(f"\\x{{{ord(c):X}}}" for c in glyphs)

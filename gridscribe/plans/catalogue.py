@@ -12,6 +12,7 @@ from gridscribe.functions import text as T
 from gridscribe.operators import geometry as G
 from gridscribe.operators import layout, outline, sheets, verify
 from gridscribe.operators.grid import flatten_tables
+from gridscribe.plans import documents
 from gridscribe.sources import frames, office
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,6 +577,29 @@ def ruled_table_cells(spark, sf_dir):
     return found.select("doc_id", cell.cast("long").alias("cell"), "x0", "top", "x1", "bottom")
 
 
+@query(
+    """SELECT n_nationkey::VARCHAR AS doc_id, k::BIGINT AS k, '1.' || k || ' Supplier name: ' || s_name || '  |  Code of it: p' || s_suppkey AS line
+    FROM (SELECT s_nationkey AS n_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) WHERE k <= 30"""
+)
+def flatten_positioned_pages(spark, sf_dir):
+    """Words and rules of pages to numbered lines: detection, words to cells, lines, grid, outline. A page holds thirty rows."""
+    order = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).cast("int")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("doc_id"), order.alias("row"), "s_name", F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("code")).where("row <= 30")
+    size = rows.groupBy("doc_id").agg((F.max("row") + 1).cast("int").alias("n"))
+    heads = size.select("doc_id", F.lit(0).alias("row"), F.lit("Supplier name").alias("s_name"), F.lit("Code of it").alias("code"))
+    cells = heads.unionByName(rows).select("doc_id", "row", F.posexplode(F.array("s_name", "code")).alias("col", "text"))
+    each = cells.select("doc_id", "row", "col", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    x, top = 55.0 + 200 * F.col("col") + 60 * F.col("k"), 45.0 + 20 * F.col("row")
+    words = each.select("doc_id", F.lit(1).alias("page"), (F.col("row") * 100 + F.col("col") * 10 + F.col("k")).cast("int").alias("word_id"), "text", x.alias("x0"), (x + F.least(F.lit(50.0), 5.0 * F.length("text"))).alias("x1"), top.alias("top"), (top + 9).alias("bottom"), F.lit(9.0).alias("size"))
+    across = size.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n")))).select("doc_id", (40.0 + 20 * F.col("k")).alias("y"), "n")
+    h = across.select("doc_id", F.lit(1).alias("page"), F.lit(50.0).alias("x0"), F.col("y").alias("top"), F.lit(450.0).alias("x1"), F.col("y").alias("bottom"))
+    v = size.withColumn("x", F.explode(F.array(F.lit(50.0), F.lit(250.0), F.lit(450.0)))).select("doc_id", F.lit(1).alias("page"), F.col("x").alias("x0"), F.lit(40.0).alias("top"), F.col("x").alias("x1"), (40.0 + 20 * F.col("n")).alias("bottom"))
+    pages = size.select("doc_id", F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("rotation"))
+    numbered = documents.flatten_pages(words, h.unionByName(v), pages).where("line <> ''")
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
+    return numbered.select("doc_id", k.cast("long").alias("k"), "line")
+
+
 # --- sheets and display ---------------------------------------------------------------------------------------------------
 
 

@@ -32,7 +32,7 @@ def word_outline(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     paragraph that is not blank above a table names it.
     """
     ship_code(files.sparkSession)
-    paragraphs = office.word_paragraphs(files)
+    paragraphs = office.styled_paragraphs(files)
     listed = outline.list_numbers(paragraphs, office.list_levels(files))
     rank = F.coalesce("outline_lvl", F.regexp_extract("style_id", r"^Heading ?([1-9])$", 1).try_cast("int") - 1)
     blocks = F.filter(F.transform(F.split("text", "\n"), lambda x: T.one_line(x)), lambda x: x != "")

@@ -211,6 +211,40 @@ def list_levels(docs: DataFrame) -> DataFrame:
     return _each_file(docs, _read_levels, "doc_id string, num_id string, abstract_id string, ilvl int, start int, fmt string, override int")
 
 
+def _read_styles(doc_id: str, content: bytes):
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if "word/styles.xml" not in z.namelist():
+            return
+        root = ET.fromstring(z.read("word/styles.xml"))
+    own = {}
+    for style in root.findall(f"{W}style"):
+        props = style.find(f"{W}pPr")
+        listed = props.find(f"{W}numPr") if props is not None else None
+        name = style.get(f"{W}styleId")
+        rank = re.fullmatch(r"Heading ?([1-9])", name or "")
+        level = _whole(_flag(props, "outlineLvl"))
+        own[name] = (_flag(style, "basedOn"), int(rank[1]) - 1 if level is None and rank else level, _flag(listed, "numId"), _whole(_flag(listed, "ilvl")))
+    for name in own:
+        chain, at = [], name
+        while at in own and at not in chain:  # a style that is based on itself, through others, ends the chain
+            chain.append(at)
+            at = own[at][0]
+        first = lambda k, chain=chain: next((own[s][k] for s in chain if own[s][k] is not None), None)
+        yield doc_id, name, first(1), first(2), first(3)
+
+
+def word_styles(docs: DataFrame) -> DataFrame:
+    """doc_id, style_id, outline_lvl, num_id, ilvl: what each paragraph style says, itself or through the styles it is based on."""
+    return _each_file(docs, _read_styles, "doc_id string, style_id string, outline_lvl int, num_id string, ilvl int")
+
+
+def styled_paragraphs(docs: DataFrame) -> DataFrame:
+    """PARAGRAPHS with what their styles say, where they do not say it themselves."""
+    styles = word_styles(docs).select("doc_id", "style_id", *(F.col(c).alias(f"__{c}") for c in ("outline_lvl", "num_id", "ilvl")))
+    met = word_paragraphs(docs).join(styles, ["doc_id", "style_id"], "left")
+    return met.withColumns({c: F.coalesce(c, f"__{c}") for c in ("outline_lvl", "num_id", "ilvl")}).drop("__outline_lvl", "__num_id", "__ilvl")
+
+
 # --- sheets --------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscribe.session import ship_code
+from gridscribe.sources.office import W
 
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
@@ -42,6 +45,55 @@ def word_file(lines: list[str], headings: dict[int, str] | None = None) -> bytes
     return out.getvalue()
 
 
+def _paragraphs(lines: list[str]) -> list[ET.Element]:
+    body = ET.fromstring(zipfile.ZipFile(io.BytesIO(word_file(lines))).read("word/document.xml"))[0]
+    return list(body)
+
+
+def without_tables(content: bytes, lines: dict[str, list[str]]) -> bytes:
+    """A word file whose outermost tables are replaced by their lines; all other parts are copied as they are.
+
+    `lines` goes by table_id, as the reader names tables. A story that would be left without a paragraph keeps an empty one.
+    """
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+        for name in z.namelist():
+            data = z.read(name)
+            story = re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml", name)
+            if story and b"tbl>" in data:
+                for _, (prefix, uri) in ET.iterparse(io.BytesIO(data), events=["start-ns"]):
+                    if not re.fullmatch(r"ns\d+", prefix):
+                        ET.register_namespace(prefix, uri)
+                root = ET.fromstring(data)
+                number = {id(t): k for k, t in enumerate(root.iter(f"{W}tbl"))}
+                for parent in list(root.iter()):
+                    for tbl in [c for c in parent if c.tag == f"{W}tbl" and f"{story[1]}/{number[id(c)]:04d}" in lines]:
+                        at = list(parent).index(tbl)
+                        parent.remove(tbl)
+                        for k, p in enumerate(_paragraphs(lines[f"{story[1]}/{number[id(tbl)]:04d}"])):
+                            parent.insert(at + k, p)
+                        if not parent.findall(f"{W}p"):
+                            ET.SubElement(parent, f"{W}p")
+                data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+            made.writestr(zipfile.ZipInfo(name), data)
+    return out.getvalue()
+
+
+def flattened_word_files(files: DataFrame, numbered: DataFrame) -> DataFrame:
+    """doc_id, content of word files with NUMBERED lines in place of their tables."""
+    ship_code(files.sparkSession)
+    line = F.struct("seq", "line")
+    each = numbered.groupBy("doc_id", "table_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
+    tables = each.groupBy("doc_id").agg(F.collect_list(F.struct("table_id", "lines")).alias("tables"))
+
+    def rewrite(batches):
+        for b in batches:
+            made = [without_tables(bytes(c), {t["table_id"]: list(t["lines"]) for t in (ts if ts is not None else ())}) for c, ts in zip(b["content"], b["tables"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "content": made})
+
+    return files.select("doc_id", "content").join(tables, "doc_id", "left").mapInPandas(rewrite, "doc_id string, content binary")
+
+
 def word_files(documents: DataFrame) -> DataFrame:
     """doc_id, content of `documents` (doc_id, lines array<string>)."""
     ship_code(documents.sparkSession)

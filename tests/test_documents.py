@@ -2,7 +2,8 @@
 
 from gridscribe.functions.register import register
 from gridscribe.plans import documents as D
-from gridscribe.sources import office
+from gridscribe.operators import layout
+from gridscribe.sources import office, sinks
 
 from .test_office import book, docs, p, row, tbl, tc, word
 
@@ -90,3 +91,28 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT tokenize_text('Một, hai'), row_name('1  |  Tên: Nam'), split_items('x: a) m b) n'), bare_text('  - y')").first()[:] == (["một", "hai"], "Nam", ["x:", "a) m", "b) n"], "y")
     spark.createDataFrame([("Tên gọi", "Phí"), ("Vay", "5")], "a string, b string").coalesce(1).createOrReplaceTempView("sheet_rows")
     assert [r["line"] for r in spark.sql("SELECT line FROM flatten_table(TABLE(sheet_rows) WITH SINGLE PARTITION) ORDER BY k").collect()] == ["- Tên gọi: Vay  |  Phí: 5"]
+
+
+def test_tables_are_replaced_in_place(spark):
+    inner = tbl([tc("K"), tc("V")], [tc("x"), tc("y")])
+    body = p("trước") + tbl([tc("Tên gọi"), tc("Phí")], [tc("Nam"), tc(inner)]) + p("sau")
+    header = '<w:hdr xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">' + tbl([tc("H1"), tc("H2")], [tc("a"), tc("b")]) + "</w:hdr>"
+    d = docs(spark, word(body, header1=header))
+    made = sinks.flattened_word_files(d, D.flatten_word_files(d)).cache()
+    assert office.word_cells(made).count() == 0
+    texts = [r["text"] for r in office.word_paragraphs(made).where("story = 'document'").orderBy("seq").collect()]
+    assert texts[0] == "trước" and texts[-1] == "sau" and texts[1].startswith("1.1 Tên gọi: Nam  |  Phí:")
+    assert office.word_paragraphs(made).where("story = 'header1'").count() >= 1
+
+
+def test_styles_through_others(spark):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    styles = f'<w:styles {ns}><w:style w:styleId="Heading1"/><w:style w:styleId="Mine"><w:basedOn w:val="Heading1"/></w:style><w:style w:styleId="A"><w:basedOn w:val="B"/></w:style><w:style w:styleId="B"><w:basedOn w:val="A"/><w:pPr><w:numPr><w:numId w:val="4"/></w:numPr></w:pPr></w:style></w:styles>'
+    d = docs(spark, word(p("Chương", '<w:pStyle w:val="Mine"/>') + tbl([tc("Tên"), tc("Tuổi")], [tc("Nam"), tc("25")]), styles=styles))
+    assert {r["style_id"]: (r["outline_lvl"], r["num_id"]) for r in office.word_styles(d).collect()} == {"Heading1": (0, None), "Mine": (0, None), "A": (None, "4"), "B": (None, "4")}
+    assert lines(D.flatten_word_files(d))["d0", "document/0000"] == ["1 Chương", "", "  1.1 Tên: Nam  |  Tuổi: 25"]
+
+
+def test_typography(spark):
+    chars = spark.createDataFrame([("b", 0, "Times", 14.0), ("b", 1, "Arial", 9.0), ("b", 2, "Arial", 14.0), ("b", 3, "Times", 9.0)], "box_id string, pos int, font string, size double")
+    assert layout.typography(chars).first()[:] == ("b", "Times", 12.0, True)
