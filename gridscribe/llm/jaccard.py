@@ -26,7 +26,7 @@ from .components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
 #: A tile has about twice as many classes, and about twice as many bytes of shingles, at most.
-BLOCK_CLASSES, BLOCK_BYTES = 1024, 16 << 20
+BLOCK_CLASSES, BLOCK_BYTES = 128, 16 << 20
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 144) -> tuple[int, int]:
@@ -130,7 +130,8 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, re
     """
     rows, found = _classed(docs, n, threshold, recall)
     known = stored(rows.where("name is not null").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), "__hash", "name").join(found.select("name", "root"), "name"))
-    first = known.groupBy("root").agg(F.min(F.struct("__id", "__hash")).alias("first"))
+    # Stored, as below: a join with an exchange on either side is one that Spark can split for a very large class.
+    first = stored(known.groupBy("root").agg(F.min(F.struct("__id", "__hash")).alias("first")))
     each = known.groupBy("root", "__id", "__hash").agg(F.count("*").alias("n")).join(first, "root")
     is_first = (F.col("__id") == F.col("first.__id")) & (F.col("__hash") == F.col("first.__hash"))
     marked = stored(each.select("__id", "__hash", F.when(is_first, "twice").otherwise("gone").alias("__mark"), "n").where("__mark = 'gone' or n > 1").drop("n"))
@@ -187,7 +188,8 @@ def _classed(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     links = _links(narrow.drop("__hash"), candidates, classes, n, threshold)
 
     found = classes.join(links, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least = found.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    found = stored(found.drop("bands"))
+    least = stored(found.groupBy("root").agg(F.min("first_id").alias("class_id")))
     found = found.join(least, "root").select("name", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
     return rows.select("doc_id", "__hash", "name", "n_shingles"), found
 

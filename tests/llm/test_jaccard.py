@@ -38,7 +38,7 @@ def corpus():
     return rows + odd_rows()
 
 
-@pytest.mark.parametrize("block", [1024, 4])
+@pytest.mark.parametrize("block", [128, 4])
 def test_links_and_classes_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)  # small blocks: components of several tiles
     rows = corpus()
