@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridscribe.functions.text import is_bullet, is_contents_line
 from gridscribe.session import ship_code
 
 PAGE = ["doc_id", "page"]
@@ -271,25 +272,70 @@ def tables_of_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*PAGE).applyInPandas(join, kind)
 
 
-def gutters(words: DataFrame, wide: int = 7, inset: int = 12) -> DataFrame:
-    """doc_id, page, x0, x1: bands of one-point bins that no word of the page touches, inside its text and wide enough."""
-    bins = words.select(*PAGE, F.explode(F.sequence(F.floor("x0").cast("int"), F.greatest(F.floor("x0"), F.ceil("x1") - 1).cast("int"))).alias("bin")).distinct()
-    order = Window.partitionBy(*PAGE).orderBy("bin")
-    free = bins.withColumns({"from": F.lag("bin").over(order) + 1, "low": F.min("bin").over(Window.partitionBy(*PAGE)), "high": F.max("bin").over(Window.partitionBy(*PAGE)) + 1})
+def gutters(words: DataFrame, wide: int = 7, inset: int = 12, keys: list[str] = PAGE) -> DataFrame:
+    """keys, x0, x1: bands of one-point bins that no word touches, inside the text and wide enough."""
+    bins = words.select(*keys, F.explode(F.sequence(F.floor("x0").cast("int"), F.greatest(F.floor("x0"), F.ceil("x1") - 1).cast("int"))).alias("bin")).distinct()
+    order, whole = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
+    free = bins.withColumns({"from": F.lag("bin").over(order) + 1, "low": F.min("bin").over(whole), "high": F.max("bin").over(whole) + 1})
     band = free.where(F.col("bin") - F.col("from") >= wide)
-    return band.where((F.col("from") - F.col("low") >= inset) & (F.col("high") - F.col("bin") >= inset)).select(*PAGE, F.col("from").cast("double").alias("x0"), F.col("bin").cast("double").alias("x1"))
+    return band.where((F.col("from") - F.col("low") >= inset) & (F.col("high") - F.col("bin") >= inset)).select(*keys, F.col("from").cast("double").alias("x0"), F.col("bin").cast("double").alias("x1"))
 
 
-def borderless_tables(lines_words: DataFrame, bands: DataFrame) -> DataFrame:
-    """doc_id, page, n_cols, n_lines, full_ratio, x0, top, x1, bottom: pages whose lines fill columns between gutters often enough.
+def borderless_tables(lines_words: DataFrame, bands: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """keys, n_cols, n_lines, full_ratio, edges, x0, top, x1, bottom: runs of lines that fill the columns between gutters often enough.
 
-    `lines_words` are words with line_no. At least two columns, three lines, 0.7 of the lines full.
+    `lines_words` are words with line_no. At least two columns and three lines, 0.7 of them full; not all of them list
+    items, and dot leaders in 0.3 of them at most.
     """
-    edges = bands.groupBy(*PAGE).agg(F.array_sort(F.collect_list((F.col("x0") + F.col("x1")) / 2)).alias("cuts"))
-    placed = lines_words.join(edges, PAGE).withColumn("column", F.size(F.filter("cuts", lambda e: e <= (F.col("x0") + F.col("x1")) / 2)))
-    per_line = placed.groupBy(*PAGE, "line_no").agg(F.count_distinct("column").alias("filled"), F.first(F.size("cuts") + 1).alias("n_cols"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
-    found = per_line.groupBy(*PAGE, "n_cols").agg(F.count("*").alias("n_lines"), F.avg((F.col("filled") >= F.col("n_cols")).cast("double")).alias("full_ratio"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
-    return found.where((F.col("n_cols") >= 2) & (F.col("n_lines") >= 3) & (F.col("full_ratio") >= 0.7))
+    cuts = bands.groupBy(*keys).agg(F.array_sort(F.collect_list((F.col("x0") + F.col("x1")) / 2)).alias("cuts"))
+    placed = lines_words.join(cuts, keys).withColumn("column", F.size(F.filter("cuts", lambda e: e <= (F.col("x0") + F.col("x1")) / 2)))
+    opens = F.min_by(is_bullet(F.concat("text", F.lit(" "))), "x0")
+    per_line = placed.groupBy(*keys, "line_no").agg(
+        F.count_distinct("column").alias("filled"), F.first("cuts").alias("cuts"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"),
+        opens.alias("item"), F.bool_or(is_contents_line(F.col("text"))).alias("leader"),
+    )
+    n_cols = F.size(F.first("cuts")) + 1
+    full = F.avg((F.col("filled") >= F.size("cuts") + 1).cast("double"))
+    left, right = F.min("x0"), F.max("x1")
+    found = per_line.groupBy(*keys).agg(
+        n_cols.alias("n_cols"), F.count("*").alias("n_lines"), full.alias("full_ratio"), F.concat(F.array(left), F.first("cuts"), F.array(right)).alias("edges"),
+        left.alias("x0"), F.min("top").alias("top"), right.alias("x1"), F.max("bottom").alias("bottom"), F.bool_and("item").alias("items"), F.avg(F.col("leader").cast("double")).alias("leaders"),
+    )
+    fits = (F.col("n_cols") >= 2) & (F.col("n_lines") >= 3) & (F.col("full_ratio") >= 0.7) & ~F.col("items") & (F.col("leaders") <= 0.3)
+    return found.where(fits).drop("items", "leaders")
+
+
+def best_trims(lines_words: DataFrame, most: int = 2) -> DataFrame:
+    """doc_id, page, run, and of each run the variant that reads best: up to `most` lines off its head and tail; most columns, then fullest, then longest.
+
+    `lines_words` are words with run and line_no (from 0 in each run). A caption above a table hides its columns; without it they show.
+    """
+    run = [*PAGE, "run"]
+    lines = lines_words.groupBy(*run).agg((F.max("line_no") + 1).alias("lines"))
+    trims = F.sequence(F.lit(0), F.lit(most))
+    variants = lines.withColumn("head", F.explode(trims)).withColumn("tail", F.explode(trims)).where(F.col("lines") - F.col("head") - F.col("tail") >= 3)
+    words = lines_words.join(variants, run).where((F.col("line_no") >= F.col("head")) & (F.col("line_no") < F.col("lines") - F.col("tail")))
+    keys = [*run, "head", "tail"]
+    found = borderless_tables(words, gutters(words, keys=keys), keys)
+    score = F.struct("n_cols", F.round("full_ratio", 3), "n_lines", -F.col("head"), -F.col("tail"))
+    columns = ["head", "tail", "n_cols", "n_lines", "full_ratio", "edges", "x0", "top", "x1", "bottom"]
+    return found.groupBy(*run).agg(F.max_by(F.struct(*columns), score).alias("best")).select(*run, "best.*")
+
+
+def splice_nested(cells: DataFrame, nested: DataFrame) -> DataFrame:
+    """CELLS with the lines of nested tables (doc_id, table_id of the outer one, box, lines array<string>) in the cell nearest to each.
+
+    They stand where the nested table stood, one below the other, so what comes after treats them as the cell's own.
+    """
+    key = ["doc_id", "table_id"]
+    boxes = nested.select(*key, *(F.col(c).alias(f"w_{c}") for c in ("x0", "top", "x1", "bottom")), F.col("lines").alias("inner"))
+    met = boxes.join(cells.select(*key, "row", "col", *(F.col(c).alias(f"b_{c}") for c in ("x0", "top", "x1", "bottom"))), key)
+    nearest = met.groupBy(*key, "w_x0", "w_top", "w_bottom", "inner").agg(F.min(F.struct(box_distance().alias("d"), "row", "col")).alias("at"))
+    step = F.greatest(F.lit(1.0), F.col("w_bottom") - F.col("w_top")) / F.greatest(F.lit(1), F.size("inner"))
+    made = F.transform("inner", lambda t, k: F.struct(t.alias("text"), F.col("w_x0").alias("x0"), (F.col("w_x0") + 1).alias("x1"), (F.col("w_top") + k * step).alias("top"), (F.col("w_top") + (k + 0.9) * step).alias("bottom")))
+    added = nearest.select(*key, "at.row", "at.col", made.alias("made")).groupBy(*key, "row", "col").agg(F.flatten(F.collect_list("made")).alias("__more"))
+    by_top = F.array_sort(F.transform(F.concat("lines", F.coalesce("__more", F.slice("lines", 1, 0))), lambda x: F.struct(x["top"].alias("at"), x.alias("line"))))
+    return cells.join(added, [*key, "row", "col"], "left").withColumn("lines", F.transform(by_top, lambda x: x["line"])).select(*cells.columns)
 
 
 def vertical_runs(lines: DataFrame) -> DataFrame:

@@ -111,31 +111,46 @@ def flatten_sheet_files(files: DataFrame) -> DataFrame:
 
 
 def page_cells(words: DataFrame, rulings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """CELLS of the ruled tables of pages, and the tables (doc_id, page, table_id, box, edges)."""
+    """CELLS of the outermost ruled tables of pages, and these tables (doc_id, page, table_id, box, edges).
+
+    A table inside a cell is flattened first; its lines stand in that cell, its words nowhere else.
+    """
+    keys = ["doc_id", "page", "table_id"]
     ruled = stored(G.tables_of_cells(G.ruled_cells(rulings)))
-    boxes = ruled.groupBy("doc_id", "page", "table_id").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("x0", "x1"))))).alias("xs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("top", "bottom"))))).alias("ys"))
+    edges = lambda *c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(*c)))))
+    boxes = ruled.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), edges("x0", "x1").alias("xs"), edges("top", "bottom").alias("ys"))
     sized = stored(G.large_enough(boxes))
-    kept = sized.join(G.outermost(sized).where("parent is null").select("doc_id", "page", "table_id"), ["doc_id", "page", "table_id"], "left_semi")
-    tables = kept = stored(kept.withColumn("edges", G.kept_edges(F.col("xs"))))
+    tables = stored(sized.join(G.outermost(sized), keys).withColumn("edges", G.kept_edges(F.col("xs"))))
+    outer, inner = tables.where("parent is null").drop("parent"), tables.where("parent is not null")
+    within = inner.select("doc_id", "page", F.col("parent").alias("table_id"), F.col("table_id").alias("child"), "x0", "top", "x1", "bottom")
+    inner_cells = _filled_cells(words, ruled, inner)
+    lines = flatten_tables(inner_cells).select("doc_id", F.col("table_id").alias("child"), "lines")
+    own = words.join(within.select("doc_id", "page", "x0", "top", "x1", "bottom").alias("b"), (words["doc_id"] == F.col("b.doc_id")) & (words["page"] == F.col("b.page")) & _centre_in(words), "left_anti")
+    cells = _filled_cells(own, ruled, outer)
+    return G.splice_nested(cells, within.join(lines, ["doc_id", "child"])), outer
+
+
+def _centre_in(words: DataFrame):
+    cx, cy = (words["x0"] + words["x1"]) / 2, (words["top"] + words["bottom"]) / 2
+    return cx.between(F.col("b.x0"), F.col("b.x1")) & cy.between(F.col("b.top"), F.col("b.bottom"))
+
+
+def _filled_cells(words: DataFrame, ruled: DataFrame, tables: DataFrame) -> DataFrame:
+    """CELLS of the tables: grid places from their edges, and the words, each in the cell that has it or the nearest one."""
+    keys = ["doc_id", "page", "table_id"]
     at = lambda edges, v: F.array_position(edges, v).cast("int") - 1
-    placed = ruled.join(kept.select("doc_id", "page", "table_id", "xs", "ys"), ["doc_id", "page", "table_id"]).select(
-        "doc_id", "page", "table_id", at(F.col("ys"), F.col("top")).alias("row"), at(F.col("xs"), F.col("x0")).alias("col"),
-        (at(F.col("ys"), F.col("bottom")) - at(F.col("ys"), F.col("top"))).alias("row_span"), (at(F.col("xs"), F.col("x1")) - at(F.col("xs"), F.col("x0"))).alias("col_span"), "x0", "top", "x1", "bottom",
-    )
+    row, col = at(F.col("ys"), F.col("top")), at(F.col("xs"), F.col("x0"))
+    placed = ruled.join(tables.select(*keys, "xs", "ys"), keys).select(*keys, row.alias("row"), col.alias("col"), (at(F.col("ys"), F.col("bottom")) - row).alias("row_span"), (at(F.col("xs"), F.col("x1")) - col).alias("col_span"), "x0", "top", "x1", "bottom")
     keyed = placed.withColumn("cell_id", F.col("row") * 100_000 + F.col("col"))
-    # The words of each table: those with their centre in it. Each goes to the cell that has it, or the nearest one.
-    inside = G.words_in_tables(words, kept.select("doc_id", "page", "table_id", "x0", "top", "x1", "bottom"))
-    mine = inside.select("doc_id", "page", F.col("b_table_id").alias("table_id"), *(F.col(f"w_{c}").alias(c) for c in ("word_id", "text", "x0", "x1", "top", "bottom", "size")))
-    keys = ["doc_id", "page", "table_id"]
-    mine = stored(mine)
+    inside = G.words_in_tables(words, tables.select(*keys, "x0", "top", "x1", "bottom"))
+    mine = stored(inside.select("doc_id", "page", F.col("b_table_id").alias("table_id"), *(F.col(f"w_{c}").alias(c) for c in ("word_id", "text", "x0", "x1", "top", "bottom", "size"))))
     of = G.assign_words(mine.select(*keys, "word_id", "x0", "x1", "top", "bottom"), keyed.select(*keys, "cell_id", "x0", "x1", "top", "bottom"), keys)
     lines = stored(G.group_lines(mine.join(of, [*keys, "word_id"]), [*keys, "cell_id"]))
     line = F.struct("line_no", F.struct("text", "x0", "x1", "top", "bottom").alias("line"))
     grouped = lines.groupBy(*keys, "cell_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
     none = F.array().cast("array<struct<text: string, x0: double, x1: double, top: double, bottom: double>>")
     full = keyed.join(grouped, [*keys, "cell_id"], "left").withColumn("lines", F.coalesce("lines", none))
-    cells = full.select("doc_id", "table_id", "row", "col", "row_span", "col_span", "x0", "top", "x1", "bottom", "lines", F.lit(None).cast("array<struct<level: int, text: string, marker: string>>").alias("items"))
-    return cells, tables
+    return full.select("doc_id", "table_id", "row", "col", "row_span", "col_span", "x0", "top", "x1", "bottom", "lines", F.lit(None).cast("array<struct<level: int, text: string, marker: string>>").alias("items"))
 
 
 def flatten_pages(words: DataFrame, rulings: DataFrame, pages: DataFrame) -> DataFrame:

@@ -116,3 +116,15 @@ def test_styles_through_others(spark):
 def test_typography(spark):
     chars = spark.createDataFrame([("b", 0, "Times", 14.0), ("b", 1, "Arial", 9.0), ("b", 2, "Arial", 14.0), ("b", 3, "Times", 9.0)], "box_id string, pos int, font string, size double")
     assert layout.typography(chars).first()[:] == ("b", "Times", 12.0, True)
+
+
+def test_table_in_a_cell(spark):
+    rulings = ruled("d", 1, 50.0, 100.0, 2, 2, w=200.0, h=80.0) + ruled("d", 1, 270.0, 195.0, 2, 2, w=70.0, h=20.0)
+    put = [(60.0, 110.0, "Tên gọi"), (260.0, 110.0, "Nội dung"), (60.0, 190.0, "Vay vốn"), (275.0, 200.0, "Kỳ hạn"), (345.0, 200.0, "Lãi suất"), (275.0, 220.0, "một năm"), (345.0, 220.0, "5%")]
+    words = spark.createDataFrame(typed("d", 1, 0, put), "doc_id string, page int, word_id int, text string, x0 double, x1 double, top double, bottom double, size double")
+    rules = spark.createDataFrame(rulings, "doc_id string, page int, x0 double, top double, x1 double, bottom double")
+    cells, tables = D.page_cells(words, rules)
+    assert tables.count() == 1
+    got = lines(D.flatten_pages(words, rules, spark.createDataFrame([page("d", 1)], "doc_id string, page int, width double, height double, rotation int")))
+    flat = next(iter(got.values()))
+    assert flat[0].startswith("1.1 Tên gọi: Vay vốn  |  Nội dung: ") and "Kỳ hạn: một năm  |  Lãi suất: 5%" in "\n".join(flat)

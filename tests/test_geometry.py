@@ -98,3 +98,19 @@ def test_report_has_teeth(spark):
     assert (lossy["c"]["fake_labels"], lossy["c"]["stray_characters"], lossy["c"]["double_blanks"]) == (["column"], ["​"], 1)
     assert all(r["passed"] for r in verify.report(source, source).collect())
     assert {r["description"] for r in verify.describe(verify.report(source, source)).collect()} == {"passed"}
+
+
+def test_caption_is_trimmed_off(spark):
+    rows = [("caption", 20, 260, 0, 10)] + [(f"w{k}{c}", 20 + 100 * c, 60 + 100 * c, 20 * k, 10) for k in range(1, 5) for c in range(3)]
+    lined = words(spark, rows).withColumns({"line_no": F.floor(F.col("top") / 20).cast("int"), "run": F.lit(0)})
+    best = G.best_trims(lined).first()
+    assert (best["head"], best["tail"], best["n_cols"], best["n_lines"]) == (1, 0, 3, 4)
+
+
+def test_lists_and_contents_are_no_tables(spark):
+    rows = [(t, 20 + 100 * c, 60 + 100 * c, 20 * k, 10) for k in range(4) for c, t in enumerate(("-", "item", "more"))]
+    lined = words(spark, rows).withColumn("line_no", F.floor(F.col("top") / 20).cast("int"))
+    assert G.borderless_tables(lined, G.gutters(lined)).count() == 0
+    rows = [(t, 20 + 100 * c, 60 + 100 * c, 20 * k, 10) for k in range(4) for c, t in enumerate(("part", ".....", "7"))]
+    lined = words(spark, rows).withColumn("line_no", F.floor(F.col("top") / 20).cast("int"))
+    assert G.borderless_tables(lined, G.gutters(lined)).count() == 0
