@@ -69,11 +69,8 @@ def same_edges(a: Column, b: Column, tolerance: float = 4.0) -> Column:
 # --- words to lines ---------------------------------------------------------------------------------------------------
 
 
-def group_lines(words: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line_no, text, x0, x1, top, bottom: words whose tops are near the first of their line, in reading order.
-
-    Between two words of a line stands a blank if the gap is over 5% of the larger font size.
-    """
+def line_words(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line_no and the words: those whose tops are near the first of their line are one line."""
     word = F.struct(F.round("top", 1).alias("at"), "x0", "word_id", "text", "x1", "top", "bottom", F.coalesce("size", F.greatest(F.lit(1.0), F.col("bottom") - F.col("top"))).alias("size"))
     each = words.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("words"), F.collect_list(F.col("bottom") - F.col("top")).alias("heights"))
     tolerance = F.greatest(F.lit(2.0), 0.6 * upper_median(F.col("heights")))
@@ -85,7 +82,15 @@ def group_lines(words: DataFrame, keys: list[str]) -> DataFrame:
         return F.struct(line.alias("line"), F.when(opens, w["top"]).otherwise(acc["first"]).alias("first"), F.array_append(acc["lines"], line).alias("lines"))
 
     numbered = each.withColumn("tolerance", tolerance).withColumn("line_of", F.aggregate("words", start, step, lambda acc: acc["lines"]))
-    flat = numbered.select(*keys, F.explode(F.arrays_zip("words", "line_of")).alias("w")).select(*keys, F.col("w.line_of").alias("line_no"), "w.words.*")
+    return numbered.select(*keys, F.explode(F.arrays_zip("words", "line_of")).alias("w")).select(*keys, F.col("w.line_of").alias("line_no"), "w.words.*").drop("at")
+
+
+def group_lines(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line_no, text, x0, x1, top, bottom: the lines of `line_words`, in reading order.
+
+    Between two words of a line stands a blank if the gap is over 5% of the larger font size.
+    """
+    flat = line_words(words, keys)
     along = Window.partitionBy(*keys, "line_no").orderBy("x0", "word_id")
     gap = F.col("x0") - F.lag("x1").over(along)
     blank = F.when((gap > 0) & (gap > 0.05 * F.greatest("size", F.lag("size").over(along))), " ").otherwise("")
@@ -322,6 +327,30 @@ def best_trims(lines_words: DataFrame, most: int = 2) -> DataFrame:
     return found.groupBy(*run).agg(F.max_by(F.struct(*columns), score).alias("best")).select(*run, "best.*")
 
 
+def borderless_cells(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells (doc_id, page, table_id, box) and tables (doc_id, page, table_id, box, xs, ys, edges) of columns of words without rules.
+
+    Runs of lines that stand close are looked at by themselves; columns part in the middle of gutters, rows midway between lines.
+    """
+    lined = line_words(words, PAGE)
+    boxes = lined.groupBy(*PAGE, "line_no").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"))
+    runs = vertical_runs(boxes)
+    runs = runs.withColumn("in_run", (F.row_number().over(Window.partitionBy(*PAGE, "run").orderBy("top", "line_no")) - 1).cast("int"))
+    placed = lined.join(runs.select(*PAGE, "line_no", "run", "in_run"), [*PAGE, "line_no"]).drop("line_no").withColumnRenamed("in_run", "line_no")
+    best = best_trims(placed)
+    inside = runs.select(*PAGE, "run", F.col("in_run").alias("k"), F.col("top").alias("t"), F.col("bottom").alias("b")).join(best, [*PAGE, "run"]).where((F.col("k") >= F.col("head")) & (F.col("k") < F.col("head") + F.col("n_lines")))
+    spans = inside.groupBy(*PAGE, "run").agg(F.array_sort(F.collect_list(F.struct("t", "b"))).alias("spans"))
+    n = F.size("spans")
+    between = F.zip_with(F.slice("spans", 1, n - 1), F.slice("spans", 2, n - 1), lambda above, below: (above["b"] + below["t"]) / 2)
+    ys = F.concat(F.array(F.get("spans", F.lit(0))["t"] - 1), between, F.array(F.element_at("spans", -1)["b"] + 1))
+    widened = F.concat(F.array(F.col("x0") - 1), F.slice("edges", 2, F.size("edges") - 2), F.array(F.col("x1") + 1))
+    found = best.join(spans, [*PAGE, "run"]).withColumns({"xs": widened, "ys": ys}).withColumn("table_id", F.concat_ws("/", "doc_id", "page", F.format_string("%.1f", F.get("ys", F.lit(0))), F.lit("run")))
+    tables = found.select(*PAGE, "table_id", *(F.expr(e) for e in ("xs[0] x0", "ys[0] top", "element_at(xs, -1) x1", "element_at(ys, -1) bottom")), "xs", "ys", kept_edges(F.col("xs")).alias("edges"))
+    rows = tables.select(*PAGE, "table_id", "xs", "ys", F.explode(F.sequence(F.lit(0), F.size("ys") - 2)).alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.size("xs") - 2)))
+    cells = rows.select(*PAGE, "table_id", F.get("xs", F.col("c")).alias("x0"), F.get("ys", F.col("r")).alias("top"), F.get("xs", F.col("c") + 1).alias("x1"), F.get("ys", F.col("r") + 1).alias("bottom"))
+    return cells, tables
+
+
 def splice_nested(cells: DataFrame, nested: DataFrame) -> DataFrame:
     """CELLS with the lines of nested tables (doc_id, table_id of the outer one, box, lines array<string>) in the cell nearest to each.
 

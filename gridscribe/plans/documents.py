@@ -111,7 +111,7 @@ def flatten_sheet_files(files: DataFrame) -> DataFrame:
 
 
 def page_cells(words: DataFrame, rulings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """CELLS of the outermost ruled tables of pages, and these tables (doc_id, page, table_id, box, edges).
+    """CELLS of the outermost tables of pages, ruled ones and columns without rules, and these tables (doc_id, page, table_id, box, edges).
 
     A table inside a cell is flattened first; its lines stand in that cell, its words nowhere else.
     """
@@ -127,7 +127,10 @@ def page_cells(words: DataFrame, rulings: DataFrame) -> tuple[DataFrame, DataFra
     lines = flatten_tables(inner_cells).select("doc_id", F.col("table_id").alias("child"), "lines")
     own = words.join(within.select("doc_id", "page", "x0", "top", "x1", "bottom").alias("b"), (words["doc_id"] == F.col("b.doc_id")) & (words["page"] == F.col("b.page")) & _centre_in(words), "left_anti")
     cells = _filled_cells(own, ruled, outer)
-    return G.splice_nested(cells, within.join(lines, ["doc_id", "child"])), outer
+    spliced = G.splice_nested(cells, within.join(lines, ["doc_id", "child"]))
+    free = G.words_outside(words, outer)
+    plain_cells, plain = (stored(x) for x in G.borderless_cells(free))
+    return spliced.unionByName(_filled_cells(free, plain_cells, plain)), stored(outer.unionByName(plain))
 
 
 def _centre_in(words: DataFrame):
@@ -154,7 +157,7 @@ def _filled_cells(words: DataFrame, ruled: DataFrame, tables: DataFrame) -> Data
 
 
 def flatten_pages(words: DataFrame, rulings: DataFrame, pages: DataFrame) -> DataFrame:
-    """NUMBERED lines of the ruled tables of positioned pages.
+    """NUMBERED lines of the tables of positioned pages.
 
     Headings are lines outside tables that state a number; a table takes the section of the last one before it. A table that
     goes on from the page before keeps its headers and its number.

@@ -128,3 +128,15 @@ def test_table_in_a_cell(spark):
     got = lines(D.flatten_pages(words, rules, spark.createDataFrame([page("d", 1)], "doc_id string, page int, width double, height double, rotation int")))
     flat = next(iter(got.values()))
     assert flat[0].startswith("1.1 Tên gọi: Vay vốn  |  Nội dung: ") and "Kỳ hạn: một năm  |  Lãi suất: 5%" in "\n".join(flat)
+
+
+def test_columns_without_rules(spark):
+    put = [(50.0, 50.0, "1. Quy định chung của hợp đồng này"), (50.0, 100.0, "Bảng 2: Lãi suất")]
+    for r, row_ in enumerate((("Sản phẩm", "Kỳ hạn", "Mức"), ("Vay vốn", "một năm", "5%"), ("Tiết kiệm", "hai năm", "6%"))):
+        put += [(50.0 + 150 * c, 116.0 + 14 * r, s) for c, s in enumerate(row_)]
+    put += [(50.0, 300.0, "Đây là một đoạn văn dài không có cột nào cả ở trong nó"), (50.0, 314.0, "và nó đi tiếp qua dòng thứ hai như mọi đoạn văn khác mà thôi")]
+    words = spark.createDataFrame(typed("d", 1, 0, put), "doc_id string, page int, word_id int, text string, x0 double, x1 double, top double, bottom double, size double")
+    rules = spark.createDataFrame([], "doc_id string, page int, x0 double, top double, x1 double, bottom double")
+    pages = spark.createDataFrame([page("d", 1)], "doc_id string, page int, width double, height double, rotation int")
+    got = list(lines(D.flatten_pages(words, rules, pages)).values())
+    assert got == [["1 Bảng 2: Lãi suất", "", "  1.1 Sản phẩm: Vay vốn  |  Kỳ hạn: một năm  |  Mức: 5%", "", "  1.2 Sản phẩm: Tiết kiệm  |  Kỳ hạn: hai năm  |  Mức: 6%"]]
