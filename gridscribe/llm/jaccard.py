@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,7 +246,7 @@ def _links(narrow: DataFrame, candidates: DataFrame, classes: DataFrame, n: int,
 
 def verified(group: pa.Table, threshold: float) -> pa.Table:
     """Links of one tile: for each class with any, the rows it links to and the least class of its part of the forest."""
-    group = group.take(pa.compute.index_in(group["name"].unique(), group["name"]))  # a repeated row is one class
+    group = group.take(pc.index_in(group["name"].unique(), group["name"]))  # a repeated row is one class
     names, copies = group["name"].to_pylist(), group["copies"].to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
     block = group["block"].to_numpy()
