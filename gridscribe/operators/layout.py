@@ -21,7 +21,7 @@ def wrap(lines: list[str], width: float, size: float = 1.0, widths: dict[str, fl
 
     `widths` has a character's width at size 1; 1 if it is not there. Continued lines hang under the text after the marker.
     """
-    measure = lambda s: size * sum((widths or {}).get(c, 1.0) for c in s)
+    measure = (lambda s: size * sum(widths.get(c, 1.0) for c in s)) if widths else (lambda s: size * len(s))
     out: list[tuple[str, int]] = []
     for source, line in enumerate(lines):
         inner = line.lstrip(" ")
