@@ -221,6 +221,17 @@ def join_wrapped_lines(spark, sf_dir):
     return docs.select("doc_id", T.join_wrapped(F.split("text", r"\s+")).alias("joined"))
 
 
+@query(
+    rf"""SELECT doc_id, array_to_string(list_transform(words, lambda w, i: CASE WHEN i = 1 THEN w
+        WHEN (regexp_matches(w, '^\p{{Ll}}$') AND NOT regexp_matches(w, '[{T.ONE_LETTER}]') OR regexp_matches(w, '^\p{{Ll}}{{2}}$') AND NOT regexp_matches(w, '[{T.VOWELS}]')) AND regexp_matches(words[i - 1], '\pL$') THEN w
+        ELSE ' ' || w END), '') AS joined
+    FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\t-\r\x20]+'), lambda w: regexp_replace(w, '^[\t-\r\x20\x{{A0}}]+|[\t-\r\x20\x{{A0}}]+$', '', 'g')), lambda w: w <> '') AS words FROM documents)"""
+)
+def join_wrapped_lines_whole(spark, sf_dir):
+    """Words of every text as wrapped lines, joined and glued by the rule; a null text stays null."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.join_wrapped(F.split("text", r"\s+")).alias("joined"))
+
+
 @query("""SELECT doc_id, regexp_replace(text, '\\s+$|^\\s+', '', 'g') AS clean FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\t\\x20]+', ' ', 'g'), ' *\\n *', chr(10), 'g')) AS text FROM documents)""")
 def normalise_invisible(spark, sf_dir):
     """Zero-width and control characters that were put into texts are gone again."""
