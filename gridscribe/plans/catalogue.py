@@ -611,6 +611,31 @@ def flatten_positioned_pages(spark, sf_dir):
     return numbered.select("doc_id", k.cast("long").alias("k"), "line")
 
 
+@query(
+    """SELECT n_nationkey::VARCHAR AS doc_id, k::BIGINT AS k, CASE WHEN k > 30 THEN '  ' ELSE '' END || '1.' || k || ' Supplier name: ' || s_name || '  |  Code of it: p' || s_suppkey AS line
+    FROM (SELECT s_nationkey AS n_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)"""
+)
+def flatten_positioned_pages_whole(spark, sf_dir):
+    """Every supplier of a nation on pages of thirty rows: one table that goes on over the page breaks, with its header on the first page alone."""
+    order = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).cast("int")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("doc_id"), order.alias("k"), "s_name", F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("code"))
+    heads = rows.where("k = 1").select("doc_id", F.lit(0).alias("k"), F.lit("Supplier name").alias("s_name"), F.lit("Code of it").alias("code"))
+    page = F.greatest(F.ceil(F.col("k") / 30), F.lit(1)).cast("int")
+    placed = heads.unionByName(rows).withColumn("page", page).withColumn("row", F.when(F.col("page") == 1, F.col("k")).otherwise((F.col("k") - 1) % 30))
+    size = placed.groupBy("doc_id", "page").agg((F.max("row") + 1).cast("int").alias("n"))
+    cells = placed.select("doc_id", "page", "row", F.posexplode(F.array("s_name", "code")).alias("col", "text"))
+    each = cells.select("doc_id", "page", "row", "col", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    x, top = 55.0 + 200 * F.col("col") + 60 * F.col("k"), 45.0 + 20 * F.col("row")
+    words = each.select("doc_id", "page", (F.col("row") * 100 + F.col("col") * 10 + F.col("k")).cast("int").alias("word_id"), "text", x.alias("x0"), (x + F.least(F.lit(50.0), 5.0 * F.length("text"))).alias("x1"), top.alias("top"), (top + 9).alias("bottom"), F.lit(9.0).alias("size"))
+    y = 40.0 + 20 * F.col("k")
+    h = size.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n")))).select("doc_id", "page", F.lit(50.0).alias("x0"), y.alias("top"), F.lit(450.0).alias("x1"), y.alias("bottom"))
+    v = size.withColumn("x", F.explode(F.array(F.lit(50.0), F.lit(250.0), F.lit(450.0)))).select("doc_id", "page", F.col("x").alias("x0"), F.lit(40.0).alias("top"), F.col("x").alias("x1"), (40.0 + 20 * F.col("n")).alias("bottom"))
+    pages = size.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("rotation"))
+    numbered = documents.flatten_pages(words, h.unionByName(v), pages).where("line <> ''")
+    # A page has one table here, so the number that a line states is the only one in its document.
+    return numbered.select("doc_id", F.regexp_extract("line", r"^ *1\.(\d+) ", 1).try_cast("long").alias("k"), "line")
+
+
 # --- sheets and display ---------------------------------------------------------------------------------------------------
 
 

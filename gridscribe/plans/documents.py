@@ -166,7 +166,11 @@ def flatten_pages(words: DataFrame, rulings: DataFrame, pages: DataFrame) -> Dat
     cells = stored(cells)  # each step is read several times: it is done once
     goes_on = stored(G.continuations(tables, pages).select("doc_id", "table_id", "goes_on_from"))
     alone = flatten_tables(cells)
-    carried = goes_on.join(alone.select("doc_id", F.col("table_id").alias("goes_on_from"), "headers"), ["doc_id", "goes_on_from"]).select("doc_id", "table_id", "headers")
+    # Over several pages, the headers are those of the table that began it: the pages between have none of their own.
+    so_far = Window.partitionBy("doc_id").orderBy("page", "top", "table_id").rowsBetween(Window.unboundedPreceding, 0)
+    began = tables.join(goes_on, ["doc_id", "table_id"], "left").withColumn("began", F.last(F.when(F.col("goes_on_from").isNull(), F.col("table_id")), ignorenulls=True).over(so_far))
+    own_headers = alone.select("doc_id", F.col("table_id").alias("began"), "headers")
+    carried = began.where("goes_on_from is not null").select("doc_id", "table_id", "began").join(own_headers, ["doc_id", "began"]).select("doc_id", "table_id", "headers")
     flat = flatten_tables(cells, inherited=carried)
 
     outside = stored(G.group_lines(G.words_outside(words, tables), ["doc_id", "page"]))

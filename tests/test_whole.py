@@ -34,3 +34,10 @@ def test_join_wrapped_lines(spark, tmp_path):
     got = dict(both(spark, tmp_path, "join_wrapped_lines_whole", {"documents": spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")}))
     assert got == {k: None if t is None else fold(t) for k, t in enumerate(texts)}
     assert got[0] == "Thành phố Hồ Chí Minh 1 t a"
+
+
+def test_flatten_positioned_pages(spark, tmp_path):
+    """Three pages, a last page of one row, and a full page."""
+    rows = [(k, f"Firm {k}", nation) for nation, n in ((0, 70), (1, 31), (2, 30)) for k in range(nation * 100, nation * 100 + n)]
+    got = both(spark, tmp_path, "flatten_positioned_pages_whole", {"supplier": spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey long")})
+    assert len(got) == 131
