@@ -90,9 +90,13 @@ def fuzzy_places(form: bytes, notice: Notice) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     for begin, end in _merged(spans):
         # Latin-1 keeps one character a byte; notices are ASCII.
-        for m in notice.pattern.finditer(form[begin:end].decode("latin-1")):
-            out.append((begin + m.start(), begin + m.end(), sum(m.fuzzy_counts)))
-    return out
+        window, left = form[begin:end].decode("latin-1"), [(0, end - begin)]
+        while left:  # the best match of all may have worse ones on either side
+            a, b = left.pop()
+            if b - a >= n - reach and (m := notice.pattern.search(window, a, b)):
+                out.append((begin + m.start(), begin + m.end(), sum(m.fuzzy_counts)))
+                left += [(m.end(), b), (a, m.start())]
+    return sorted(out)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

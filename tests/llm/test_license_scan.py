@@ -55,3 +55,9 @@ def test_best_of_alike_notices():
     known = [compile_notice(t, label) for t, label in NOTICES]
     assert scan_text("Licensed under CC BY-NC 4.0.", [], known)["labels"] == "cc-by-nc"
     assert scan_text("Relaesed under the MIT Licence.", [], known)["labels"] == "mit"
+
+
+def test_notices_back_to_back_are_all_found():
+    notice = compile_notice("all rights reserved", "reserved")
+    form = scan_form("all rights reservd all rights reserved all rihts reserved")[0]
+    assert [(form[a:b].strip(), e) for a, b, e in fuzzy_places(form, notice)] == [(b"all rights reservd", 1), (b"all rights reserved", 0), (b"all rihts reserved", 1)]
