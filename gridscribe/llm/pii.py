@@ -10,6 +10,11 @@ are estimated by co-occurrence counts; PMI / IC is the share of the entity's inf
 stands nowhere else. Over one threshold t is generalised, over a higher one removed. A pair seen in fewer than
 `support` documents is no evidence.
 
+Most values stand in one document. So what a value shares with others is an entity, too, with counts of its own: the user and the
+domain of an email, the first two numbers of an address, the first six digits of a card, the first four of a phone. A term is
+judged by the most that it discloses of the value or of a part. That some entity of a kind stands here is no disclosure, as the
+brackets say it.
+
 All of it is DataFrame expressions; counts are aggregates with map-side combining. Positions of matches
 come from the lengths of what lies between them (`split`), so they are those of the regex engine itself.
 """
@@ -111,19 +116,30 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return found.where(free).drop("spans")
 
 
+def _parts(kind: Column, value: Column) -> Column:
+    """An entity's exact value, and the parts that it shares with others."""
+    named = lambda name, part: F.concat(F.lit(f"{name}:"), part)
+    mail = F.array(named("user", F.lower(F.substring_index(value, "@", 1))), named("domain", F.lower(F.substring_index(value, "@", -1))))
+    number = lambda name, n: F.array(named(name, F.substring(_digits(value), 1, n)))
+    more = F.when(kind == "email", mail).when(kind == "ip", F.array(named("network", F.substring_index(value, ".", 2)))).when(kind == "card", number("issuer", 6)).otherwise(number("area", 4))
+    return F.concat(F.array(named("value", value)), more)
+
+
 def disclosing_terms(docs: DataFrame, near: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """kind, value, term, disclosure for pairs with enough documents; counts are over every row of `docs`."""
-    entity = ["kind", "value"]
-    once = near.select("id", "text_hash", *entity, "term").distinct()
+    """kind, value, term, disclosure (the most of the value and its parts) for pairs with enough documents; counts are over every row of `docs`."""
+    entity = ["kind", "part"]
+    parted = near.withColumn("part", F.explode(_parts(F.col("kind"), F.col("value"))))
+    once = parted.select("id", "text_hash", *entity, "term").distinct()
     pairs = once.groupBy(*entity, "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = near.select("id", "text_hash", *entity).distinct().groupBy(*entity).agg(F.count("*").alias("n_entity"))
+    entities = parted.select("id", "text_hash", *entity).distinct().groupBy(*entity).agg(F.count("*").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n_all")).select("n_all")
     counted = pairs.join(entities, entity).join(terms, "term").join(F.broadcast(total))  # one row
     information = F.log2(F.col("n_all") / F.col("n_entity"))
     mutual = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    return counted.where(information > 0).select(*entity, "term", (mutual / information).alias("disclosure"))
+    told = counted.where(information > 0).select(*entity, "term", (mutual / information).alias("disclosure"))
+    return parted.select("kind", "value", "part", "term").distinct().join(told, [*entity, "term"]).groupBy("kind", "value", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> tuple[DataFrame, DataFrame]:

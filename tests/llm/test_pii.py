@@ -73,3 +73,12 @@ def test_sanitise_keeps_rows_and_columns(spark):
     assert got.columns == df.columns
     assert sorted(map(str, got.collect())) == sorted(str(r) for r in df.withColumn("n_chars", F.length("text").cast("long")).collect())
     assert sanitise(docs(spark, [])).count() == 0
+
+
+def test_terms_that_disclose_a_part_of_values_seen_once(spark):
+    common = [(i, f"the report {prose(i, 30)} about weather", "en", "s", 0) for i in range(60)]
+    told = [(100 + i, f"the Lonely{'abcd'[i]}word Marthason wrote from {v} about weather", "en", "s", 0) for i, v in enumerate(["ann@acme.org", "bob@Acme.org", "cat@acme.org", "dan@acme.org"])]
+    _, terms = find_personal_data(docs(spark, common + told))
+    found = {r["id"]: [t["value"] for t in r["terms"]] for r in terms.collect()}
+    assert set(found) == set(range(100, 104))
+    assert all("marthason" in t and "about" not in t and not any(x.startswith("lonely") for x in t) for t in found.values())
