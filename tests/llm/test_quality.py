@@ -91,6 +91,32 @@ def test_frame(spark):
     assert {r["score"] for r in score(df, blank, s).collect()} == {0.5}
 
 
+def test_scores_do_not_depend_on_neighbours(spark):
+    s = Settings(filters=8, epochs=2)
+    w = train(made(0, 40), s)
+    texts = [None, "", "x", prose(1, 7), prose(2, 900), "é😀" * 999, *(prose(k, 3 + 37 * k) for k in range(30))]
+    alone = [probabilities(w, [t], s)[0] for t in texts]
+    for size in (2, 3, 7, 20, len(texts)):
+        assert np.concatenate([probabilities(w, texts[a : a + size], s) for a in range(0, len(texts), size)]).tolist() == alone
+    df = docs(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts * 2)])
+    for parts in (1, 3, 7):
+        got = {r["doc_id"]: r["score"] for r in score(df.repartition(parts), w, s).collect()}
+        assert [got[k] for k in range(2 * len(texts))] == alone * 2
+
+
+def test_long_texts_are_learnt_whole_and_repeated_ids_once(spark):
+    long = " | ".join(prose(7, 9_000).split())
+    df = docs(spark, [(1, long, "en", "s", 0), (1, long, "en", "s", 0), (2, prose(8, 40), "en", "s", 0), (3, None, "en", "s", 0)])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    seen = []
+    old, quality.train = quality.train, lambda rows, s: seen.extend(rows)
+    try:
+        fit(df, labels)
+    finally:
+        quality.train = old
+    assert seen == [(long, 0), (prose(8, 40), 1)]
+
+
 def test_query(spark, sf_dir):
     got = quality.op7_quality(spark, sf_dir)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
