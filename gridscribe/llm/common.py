@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -68,6 +69,8 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BYTE = np.random.default_rng(20_011).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -87,7 +90,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a run of texts: 64-bit hashes, and for each text the index of its first word."""
+    """Words of a run of texts: 64-bit hashes, and for each text the index of its first word.
+
+    Hashes are polynomials modulo 2**64, taken of all words at once. Such polynomials agree, in any base, on certain pairs of different
+    words of a thousand bytes and more, so long words, which are few, have a hash of another kind.
+    """
 
     def __init__(self, texts: list[str | None], is_word: np.ndarray = _IS_WORD):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -102,6 +109,9 @@ class Words:
         total = np.zeros(len(joined) + 1, np.uint64)
         np.cumsum(_BYTE[joined] * power[: len(joined)], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
+        for k in np.flatnonzero(self.end - self.start >= LONG_WORD):
+            own = hashlib.blake2b(joined[self.start[k] : self.end[k]], digest_size=8).digest()
+            self.hash[k] = np.frombuffer(own, np.uint64)[0]
 
     def grams(self, n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n consecutive words at each word, and whether all n lie in one text."""

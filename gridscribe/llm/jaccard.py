@@ -51,10 +51,10 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
         if b - a >= n:
             own = np.unique(grams[a : b - n + 1])
         elif b > a:
-            acc = np.uint64(_odd(int(b - a)))
-            for h in words.hash[a:b]:
-                acc = acc * np.uint64(_odd(7)) + h
-            own = mix(np.array([acc], np.uint64), 9)
+            acc = np.array([_odd(int(b - a))], np.uint64)
+            for k in range(a, b):
+                acc = acc * np.uint64(_odd(7)) + words.hash[k : k + 1]
+            own = mix(acc, 9)
         else:
             own = np.zeros(0, np.uint64)
         out.append(own)

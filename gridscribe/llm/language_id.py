@@ -26,7 +26,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample_rows` labelled texts of at most `sample_chars` characters are fitted, at the most; all else covers all rows."""
+    """`sample_rows` labelled texts are fitted, at the most, each as a whole; all else covers all rows."""
 
     sizes: tuple[int, ...] = (2, 3, 4)
     buckets: int = 1 << 15
@@ -36,7 +36,6 @@ class Settings:
     batch: int = 32
     rate: float = 20.0
     sample_rows: int = 1500
-    sample_chars: int = 20_000
     calibration_share: float = 0.25
     rejected_share: float = 0.002
     seed: int = 3
@@ -198,19 +197,24 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
-    """Model of a bounded sample of `labelled` (doc_id, text, lang): rows of least hash, rows with a null left out.
+    """Model of a bounded sample of `labelled` (doc_id, text, lang): rows of least hash, whole texts; rows with a null text or lang are left out.
 
-    Only hashes are ranked; texts come to the driver for the sample alone.
+    Rows are ranked by hashes of id and text, then by lang, and only these come to the driver until the sample is known. Rows alike in all three
+    count once, so that however many share an id, or have none, no more than `sample_rows` texts are collected.
     """
-    hashed = labelled.where(F.col("lang").isNotNull() & F.length("text").between(1, s.sample_chars)).withColumn("__at", F.xxhash64(F.lit(s.seed), "doc_id"))
-    last = hashed.select("__at").orderBy("__at").limit(s.sample_rows).agg(F.max("__at")).first()[0]
-    drawn = hashed.where(F.col("__at") <= last).select("__at", "text", "lang").collect() if last is not None else []
-    drawn.sort(key=lambda r: (r["__at"], r["lang"], r["text"]))
-    return train([(r["text"], r["lang"]) for r in drawn[: s.sample_rows]], s)
+    rank = ["__at", "__text", "lang"]
+    # All null ids have one hash, which is then one of many.
+    hashed = labelled.where("lang is not null and text <> ''").select("text", "lang", F.xxhash64(F.lit(s.seed), "doc_id").alias("__at"), F.xxhash64("text").alias("__text"))
+    ranked = hashed.select(*rank).orderBy(*rank).limit(s.sample_rows).collect()
+    if not ranked:
+        return train([], s)
+    last = F.struct(*(F.lit(ranked[-1][c]).alias(c) for c in rank))
+    drawn = hashed.where(F.struct(*rank) <= last).groupBy(*rank).agg(F.min("text").alias("text")).collect()
+    return train([(r["text"], r["lang"]) for r in sorted(drawn, key=lambda r: tuple(r[c] for c in rank))], s)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of `docs` (with a column text) with lang_pred, lang_score and lang_rejected, which replace columns of these names.
+    """Rows of `docs` (with a column text) with lang_pred, lang_score and lang_rejected, which replace columns of these names; other columns stay.
 
     A text that is null or has no letter, or any text if nothing was labelled, is `und`, has score 0 and is rejected; one under
     the calibrated threshold is rejected under its likeliest name. An empty table gives no rows; repeated rows are named alike;
@@ -234,6 +238,7 @@ def fold(doc_id="doc_id", folds: int = 4):
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected for every row of documents. Null ids are not held out; null texts are `und`; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold() == 2, F.lit(False))
     model = fit(docs.where(~held_out))

@@ -3,15 +3,18 @@
 A notice of n characters is allowed k errors (inserted, deleted or changed characters). Split into k + 1 pieces,
 one piece at least survives unchanged (the pigeonhole principle), so an exact search for the pieces
 finds every place where the notice can stand. Around each such place, and only there, the `regex`
-library's bounded-error matching decides and reports where the notice begins and ends.
+library's bounded-error matching decides and reports where the notice begins and ends. Places that touch are
+matched in steps of a few lengths of the notice, so that the work grows with the text and not with its square.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -87,16 +90,31 @@ def fuzzy_places(form: bytes, notice: Notice) -> list[tuple[int, int, int]]:
         while at >= 0:
             spans.append((max(0, at - offset - reach), min(len(form), at - offset + n + reach)))
             at = form.find(piece, at + 1)
+    return [found for begin, end in _merged(spans) for found in _matched(form, begin, end, notice)]
+
+
+def _matched(form: bytes, begin: int, end: int, notice: Notice) -> list[tuple[int, int, int]]:
+    """Places of the notice between two bytes of `form`, best ones first where they overlap, in order.
+
+    One step looks at four times what a match can take. A match that begins in its last quarter is left to the next step, which begins there,
+    so each is seen whole.
+    """
     out: list[tuple[int, int, int]] = []
-    for begin, end in _merged(spans):
+    most, least = len(notice.text) + notice.errors, len(notice.text) - notice.errors
+    while end - begin >= least:
+        stop = min(end, begin + 4 * most)
         # Latin-1 keeps one character a byte; notices are ASCII.
-        window, left = form[begin:end].decode("latin-1"), [(0, end - begin)]
+        window, left, found = form[begin:stop].decode("latin-1"), [(0, stop - begin)], []
         while left:  # the best match of all may have worse ones on either side
             a, b = left.pop()
-            if b - a >= n - reach and (m := notice.pattern.search(window, a, b)):
-                out.append((begin + m.start(), begin + m.end(), sum(m.fuzzy_counts)))
+            if b - a >= least and (m := notice.pattern.search(window, a, b)):
+                found.append((begin + m.start(), begin + m.end(), sum(m.fuzzy_counts)))
                 left += [(m.end(), b), (a, m.start())]
-    return sorted(out)
+        sure = end if stop == end else stop - most
+        found = sorted(x for x in found if x[0] < sure)
+        out += found
+        begin = max(sure, found[-1][1]) if found else sure
+    return out
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,21 +129,25 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _best_apart(found: list[dict]) -> list[dict]:
     """Of finds that share words, the best one: alike notices would otherwise all claim a place."""
-    kept: list[dict] = []
+    kept: list[dict] = []  # apart, in the order of the text
+    starts: list[int] = []
     for x in sorted(found, key=lambda x: (-x["score"], x["first_word"] - x["end_word"], x["first_word"], x["label"])):
-        if all(x["end_word"] <= y["first_word"] or y["end_word"] <= x["first_word"] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x["first_word"])
+        at = bisect_left(starts, x["first_word"])
+        if (at == 0 or kept[at - 1]["end_word"] <= x["first_word"]) and (at == len(kept) or x["end_word"] <= starts[at]):
+            kept.insert(at, x)
+            starts.insert(at, x["first_word"])
+    return kept
 
 
 def scan_text(text: str | None, phrases: Sequence[tuple[bytes, str]], notices: Sequence[Notice]) -> dict:
     form, n_words = scan_form(text)
     base = [(at, label) for phrase, label in phrases for at in places(form, phrase)]
-    found = []
-    for notice in notices:
-        for begin, end, errors in fuzzy_places(form, notice):
-            found.append({"label": notice.label, "first_word": form.count(b" ", 0, begin + 1) - 1, "end_word": form.count(b" ", 0, end), "errors": errors, "score": 1 - errors / len(notice.text)})
-    found = _best_apart(found)
+    places_of = [(notice, place) for notice in notices for place in fuzzy_places(form, notice)]
+    blanks = np.flatnonzero(np.frombuffer(form, np.uint8) == 0x20).tolist() if places_of else []  # word i stands between blanks i and i + 1
+    found = _best_apart([
+        {"label": notice.label, "first_word": bisect_right(blanks, begin) - 1, "end_word": bisect_left(blanks, end), "errors": errors, "score": 1 - errors / len(notice.text)}
+        for notice, (begin, end, errors) in places_of
+    ])
     starts = [at for at, _ in base]
     return {
         "n_words": n_words,
@@ -167,4 +189,5 @@ def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
+    """The scan of every row of documents, without the notices. Null and empty texts have no words, a score of 0 and null places; repeated rows are scanned alike; an empty table gives no rows."""
     return scan_licenses(table(spark, sf_dir, "documents")).drop("notices")

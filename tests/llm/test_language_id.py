@@ -66,6 +66,50 @@ def test_frame(spark):
     assert identify(docs(spark, []), model).count() == 0
 
 
+def test_the_sample_is_bounded_however_many_rows_share_an_id(spark):
+    from gridscribe.llm import language_id
+
+    made = [(None, t, lang) for t, lang in rows(0, 60)] + [(None, "ka ro mi", "aa")] * 300 + [(5, "tion ing est", "bb")] * 300 + [(6, "sel nu " * 5_000, "aa")]
+    df = docs(spark, made)
+    seen = []
+    old, language_id.train = language_id.train, lambda r, s: seen.append(r)
+    try:
+        for parts in (1, 5):
+            fit(df.repartition(parts), Settings(sample_rows=40))
+        fit(df, Settings(sample_rows=10_000))
+    finally:
+        language_id.train = old
+    assert len(seen[0]) <= 40 and seen[0] == seen[1]
+    assert len(seen[2]) == len({(t, lang) for _, t, lang in made}) and ("sel nu " * 5_000, "aa") in seen[2]
+
+
+def test_learnt_scores_equal_plain_averages_and_softmax():
+    model = train(rows(0, 30), Settings(epochs=4))
+    texts = [text("aa", 1, 9), text("bb", 2, 200), "keit"]
+    langs, score, _ = predict(model, texts)
+    for t, lang, p in zip(texts, langs, score):
+        own, _ = features([t], model.settings)
+        mean = [sum(float(model.scores[b, k]) for b in own) / len(own) + float(model.bias[k]) for k in range(len(model.languages))]
+        e = [np.exp((x - max(mean)) / model.temperature) for x in mean]
+        assert lang == model.languages[int(np.argmax(mean))] and abs(max(e) / sum(e) - p) < 1e-9
+
+
+def test_calibration_is_the_least_log_loss_and_a_quantile():
+    from gridscribe.llm.language_id import _calibrated
+
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 3, 400)
+    logits = rng.normal(0, 1, (400, 3)) + 3 * np.eye(3)[y]
+    t, least = _calibrated(logits, y, 0.01)
+    soft = lambda z: np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    loss = lambda t: -np.mean(np.log(soft(logits / t)[np.arange(400), y]))
+    assert loss(t) <= min(loss(x) for x in np.geomspace(0.05, 10, 40)) + 1e-12
+    p = soft(logits / t)
+    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
+    low = np.quantile(right, 0.01)
+    assert abs(least - min(low, 1 / 3 + (low - 1 / 3) / 2)) < 1e-12
+
+
 def test_query_learns_from_other_folds_only(spark, sf_dir):
     got = op9_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from gridscribe.llm.license_scan import NOTICES, PHRASES, compile_notice, fuzzy_places, scan_form, scan_licenses
 
@@ -61,3 +62,33 @@ def test_notices_back_to_back_are_all_found():
     notice = compile_notice("all rights reserved", "reserved")
     form = scan_form("all rights reservd all rights reserved all rihts reserved")[0]
     assert [(form[a:b].strip(), e) for a, b, e in fuzzy_places(form, notice)] == [(b"all rights reservd", 1), (b"all rights reserved", 0), (b"all rihts reserved", 1)]
+
+
+def test_long_texts_of_notices_take_time_in_proportion():
+    from gridscribe.llm.license_scan import scan_text
+
+    known = [compile_notice(t, label) for t, label in NOTICES]
+    exact = [(p.encode(), label) for p, label in PHRASES]
+    one = "Licensed under CC BY-SA 4.0. all rights reservd, Relaesed under the MIT Licence; "
+    seconds = {}
+    for n in (500, 8000):
+        began = time.process_time()
+        got = scan_text(one * n, exact, known)
+        seconds[n] = time.process_time() - began
+        assert len(got["notices"]) == 3 * n and got["n_base"] == n
+        assert [x["label"] for x in got["notices"][:3]] == ["cc-by-sa", "reserved", "mit"]
+        assert got["notices"][-1]["end_word"] == got["n_words"]
+    assert seconds[8000] < 50 * seconds[500]
+
+
+def test_notices_are_found_wherever_steps_end():
+    notice = compile_notice("all rights reserved", "reserved")
+    rng = random.Random(3)
+    for _ in range(60):
+        parts = [rng.choice(("all rights reserved", "all rihts reserved", "all rights reservd", "all r", "eserved")) for _ in range(rng.randint(1, 40))]
+        form = scan_form(" ".join(parts))[0]
+        found = fuzzy_places(form, notice)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        whole = [form[a:b].strip().decode() for a, b, _ in found]
+        for kind in ("all rights reserved", "all rihts reserved", "all rights reservd"):
+            assert sum(kind in w for w in whole) >= parts.count(kind)
