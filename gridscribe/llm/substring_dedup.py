@@ -1,20 +1,22 @@
-"""Duplicate spans by relative Lempel-Ziv parsing (Kuruppu, Puglisi and Zobel, 2010) over an index of blocks.
+"""Duplicate spans by relative Lempel-Ziv parsing (Kuruppu, Puglisi and Zobel, 2010) against an index of reference blocks.
 
 The reference is the corpus before a place: texts with smaller ids, and the same text up to there. It is cut into
 blocks by content: of each run of `window` words, the g-gram with the least hash is its anchor, and a block is
-the runs in a row that share one anchor. Equal runs have equal anchors wherever they stand, so a factor of `window`
-words or more is found by looking up blocks alone, and every block is indexed.
+the runs in a row that share one anchor. Equal runs have equal anchors wherever they stand. The reference keeps each distinct block,
+and each distinct run of blocks that differ, once: at its first place. So each run of a text has one place in the reference, or none.
 
 1. Anchors that occur once cannot start a factor. A first pass counts anchors; a sieve of those that
    repeat keeps the rest from being shuffled.
-2. The index has one entry for each distinct block, with its first place. A block with an
-   earlier equal is a copy as a whole. These are the factors; blocks in a row extend one another.
-3. Where a block differs from all earlier ones (a factor's boundary lies in it), each of its runs is
+2. Every block is looked up in the index. One with an earlier equal matches as a whole, from its first run to its last.
+3. Where a block differs from all earlier ones, a factor's boundary lies in it: each of its runs is
    checked by itself against the runs of the blocks with the same anchor.
+4. Each text is parsed greedily from left to right (`parse`): a factor begins at the first run with a place in the reference and is
+   extended run by run, word by word that is, as long as the reference goes on at the next place; it is a
+   triple of where it begins, how long it is, and the source that it copies. Words without a factor are literals.
 
 Both lookups are aggregates with map-side combining and joins on a key of 128 bits (anchor and content hashed apart),
 so a passage that a third of all documents share is no task's burden alone. Of the texts, only those with a
-span move, once, to meet their spans.
+factor move, once, to meet them.
 """
 
 from __future__ import annotations
@@ -71,14 +73,6 @@ def _content(first: np.ndarray, count: np.ndarray, runs: np.ndarray) -> np.ndarr
     return mix(total + count.astype(np.uint64), 25)
 
 
-def covered(n_words: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which of n words lie in one of the spans."""
-    change = np.zeros(n_words + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, ends, -1)
-    return np.cumsum(change[:-1]) > 0
-
-
 LAST = (1 << 63) - 1
 
 
@@ -106,7 +100,7 @@ def _key_rows(df: DataFrame, *names: str) -> DataFrame:
 
 
 def duplicate_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """id, twin, factors (first word, end word; no more than the text has blocks and runs) for each row of `_keyed` rows that has any."""
+    """id, twin, matches (at, runs, from_id, from_twin, from_at: so many runs as there) for each row of `_keyed` rows that has any; no more than the text has blocks and runs."""
     spark = keyed.sparkSession
     prepare(spark)
     rows = keyed.where(F.length("text") >= 2 * window - 1).select("id", "twin", "text")
@@ -142,7 +136,7 @@ def duplicate_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     index = stored(placed.groupBy("anchor", "content").agg(F.min(F.struct("id", "at", "twin")).alias("first"), F.count("*").alias("places")))
     later = (F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at"))
     copies = placed.join(index.where("places > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(later)
-    whole = copies.select("id", "twin", "at", (F.col("at") + F.col("n") - 1 + window).alias("end"))
+    whole = copies.select("id", "twin", "at", F.col("n").alias("runs"), "first")
 
     # Boundaries: the first places of blocks whose anchor has other blocks too, run by run.
     several = index.groupBy("anchor").agg(F.count("*").alias("blocks")).where("blocks > 1").select("anchor")
@@ -160,33 +154,54 @@ def duplicate_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     single = stored(rows.mapInArrow(runs_of, "id long, twin long, at long, anchor long, run long"))
     # Stored, so that the join has an exchange on either side and Spark can split a run that very many texts have.
-    earliest = stored(single.groupBy("anchor", "run").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places"))
-    checked = single.join(earliest, ["anchor", "run"]).where(later).select("id", "twin", "at", (F.col("at") + window).alias("end"))
+    earliest = stored(single.groupBy("anchor", "run").agg(F.min(F.struct("id", "at", "twin")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places"))
+    checked = single.join(earliest, ["anchor", "run"]).where(later).select("id", "twin", "at", F.lit(1).cast("long").alias("runs"), "first")
 
-    factor = F.struct(F.col("at").cast("int").alias("begin"), F.col("end").cast("int").alias("end"))
-    return whole.unionByName(checked).groupBy("id", "twin").agg(F.collect_list(factor).alias("factors"))
+    match = F.struct(F.col("at").cast("int").alias("at"), F.col("runs").cast("int").alias("runs"), F.col("first.id").alias("from_id"), F.col("first.twin").alias("from_twin"), F.col("first.at").cast("int").alias("from_at"))
+    return whole.unionByName(checked).groupBy("id", "twin").agg(F.collect_list(match).alias("matches"))
 
 
-def joined_spans(factors: list[dict] | None, n_words: int) -> list[dict]:
+def parse(matches: list[dict] | None, window: int = WINDOW) -> list[dict]:
+    """Greedy factors of a text, in order: begin, end (words, exclusive), source_id, source_at.
+
+    `matches` have each run of the text once at most. A factor takes in the next match if that begins at the run behind it, both
+    here and in the source. Factors overlap by fewer than `window` words, where the last run of one and the first of the next share words.
+    """
+    out: list[dict] = []
+    source = None
+    for m in sorted(matches or (), key=lambda m: m["at"]):
+        goes_on = (m["from_id"], m["from_twin"], m["from_at"] - m["at"])
+        end = m["at"] + m["runs"] - 1 + window
+        if out and goes_on == source and m["at"] == out[-1]["end"] - window + 1:
+            out[-1]["end"] = end
+        else:
+            out.append({"begin": m["at"], "end": end, "source_id": None if m["from_id"] == LAST else m["from_id"], "source_at": m["from_at"]})
+            source = goes_on
+    return out
+
+
+def joined_spans(factors: list[dict]) -> list[dict]:
     """Spans of words that lie in a factor: sorted, apart."""
-    if not factors:
-        return []
-    at, end = np.array([f["begin"] for f in factors]), np.array([f["end"] for f in factors])
-    edges = np.diff(np.r_[False, covered(n_words, at, end), False].astype(np.int8))
-    return [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
+    out: list[dict] = []
+    for f in factors:
+        if out and f["begin"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], f["end"])
+        else:
+            out.append({"begin": f["begin"], "end": f["end"]})
+    return out
 
 
 def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text): doc_id, n_words, n_removed, kept (the words left, joined by one blank), spans.
+    """One row for each row of `docs` (doc_id, text): doc_id, n_words, n_removed, kept (the words left, joined by one blank), spans, factors.
 
-    A word goes if a run of `window` words over it also starts earlier: in a text with a smaller id, or in
+    `factors` are those of the greedy parse, with the source that each copies; `spans` are the words in them. A word goes if a run of `window` words over it also starts earlier: in a text with a smaller id, or in
     the same text. Words are runs of characters that are not blanks, unchanged. Null and empty texts have no words.
     Rows that share an id are one document as to order: neither is earlier where both start at one word. Null ids
-    come last. An empty table gives no rows; other columns are not looked at.
+    come last, and as a source they are null. An empty table gives no rows; other columns are not looked at.
     """
     keyed = _keyed(docs)
-    spans = stored(duplicate_runs(keyed, window, gram))
-    sieve = keyed.sparkSession.sparkContext.broadcast(build_sieve(stored(_key_rows(spans, "id", "twin"))))
+    found = stored(duplicate_runs(keyed, window, gram))
+    sieve = keyed.sparkSession.sparkContext.broadcast(build_sieve(stored(_key_rows(found, "id", "twin"))))
 
     def parted(marked: bool):
         """Rows that may have spans, or those that surely have none."""
@@ -198,14 +213,17 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GR
 
         return keyed.mapInArrow(part, keyed.schema)
 
-    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    span = [("begin", pa.int64()), ("end", pa.int64())]
+    factor = pa.list_(pa.struct([*span, ("source_id", pa.int64()), ("source_at", pa.int64())]))
+    span = pa.list_(pa.struct(span))
 
     def cut(batches):
         for batch in batches:
-            n_words, n_removed, kept, spans = [], [], [], []
-            for text, factors in zip(batch["text"].to_pylist(), batch["factors"].to_pylist(), strict=True):
+            n_words, n_removed, kept, spans, factors = [], [], [], [], []
+            for text, matches in zip(batch["text"].to_pylist(), batch["matches"].to_pylist(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes: parts at the six ASCII blanks alone
-                own = joined_spans(factors, len(words))
+                parsed = parse(matches, window)
+                own = joined_spans(parsed)
                 left, done = [], 0
                 for s in own:
                     left += words[done : s["begin"]]
@@ -215,15 +233,18 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GR
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left))
                 spans.append(own)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+                factors.append(parsed)
+            columns = [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span), pa.array(factors, factor)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "spans", "factors"])
 
-    met = parted(True).join(spans, ["id", "twin"], "left").select("doc_id", "text", "factors")
-    free = parted(False).select("doc_id", "text", F.lit(None).cast(spans.schema["factors"].dataType).alias("factors"))
-    schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<begin: long, end: long>>"
+    met = parted(True).join(found, ["id", "twin"], "left").select("doc_id", "text", "matches")
+    free = parted(False).select("doc_id", "text", F.lit(None).cast(found.schema["matches"].dataType).alias("matches"))
+    schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<begin: long, end: long>>, factors array<struct<begin: long, end: long, source_id: long, source_at: long>>"
     return met.mapInArrow(cut, schema).unionAll(free.mapInArrow(cut, schema))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of documents; nulls, ties and repeated rows as in `remove_duplicate_spans`."""
     found = remove_duplicate_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import pytest
 
-from gridscribe.llm.substring_dedup import remove_duplicate_spans
+from gridscribe.llm.substring_dedup import parse, remove_duplicate_spans
 
 from .helpers import docs, odd_rows, prose, with_clashing_columns
 
@@ -51,3 +51,45 @@ def test_equals_brute_force(spark, window, gram):
 
 def test_empty(spark):
     assert remove_duplicate_spans(docs(spark, [])).count() == 0
+
+
+def test_factors_are_greedy_copies_of_earlier_words(spark):
+    rows = [r for r in cases()[: -len(odd_rows())] if r[0] not in (None, 41)]  # ids that name one text
+    text = {i: (t or "").split() for i, t, *_ in rows}
+    got = {r["doc_id"]: r for r in remove_duplicate_spans(docs(spark, rows)).collect()}
+    for i, r in got.items():
+        for f in r["factors"]:
+            size = f["end"] - f["begin"]
+            assert size >= 20 and text[i][f["begin"] : f["end"]] == text[f["source_id"]][f["source_at"] : f["source_at"] + size]
+            assert (f["source_id"], f["source_at"]) < (i, f["begin"])
+        for f, g in zip(r["factors"], r["factors"][1:]):
+            assert f["begin"] < g["begin"] and g["begin"] > f["end"] - 20  # no run is in two factors
+            assert (g["source_id"], g["source_at"] - g["begin"]) != (f["source_id"], f["source_at"] - f["begin"]) or g["begin"] > f["end"] - 19
+    # A passage is one factor, whatever blocks it was cut into, and extends to its last word.
+    shared = [[(f["begin"], f["end"], f["source_id"], f["source_at"]) for f in got[i]["factors"]] for i in range(1, 12)]
+    assert shared == [[(30, 90, 0, 30)]] * 11
+    assert [(f["begin"], f["end"], f["source_id"], f["source_at"]) for f in got[23]["factors"]] == [(0, 300, 22, 0)]
+    assert [(f["begin"], f["end"], f["source_id"], f["source_at"]) for f in got[24]["factors"]] == [(0, 150, 22, 0), (151, 300, 22, 151)]
+    assert [(f["begin"], f["end"], f["source_id"], f["source_at"]) for f in got[21]["factors"]] == [(0, 45, 20, 60), (45, 105, 0, 30)]
+
+
+def test_parse_extends_while_the_source_goes_on():
+    match = lambda at, runs, i, j: {"at": at, "runs": runs, "from_id": i, "from_twin": 0, "from_at": j}
+    factors = lambda *m: [(f["begin"], f["end"], f["source_id"], f["source_at"]) for f in parse(list(m), 20)]
+    assert parse(None) == [] and factors() == []
+    assert factors(match(3, 1, 7, 9), match(0, 3, 7, 6)) == [(0, 23, 7, 6)]
+    assert factors(match(0, 3, 7, 6), match(3, 2, 8, 9)) == [(0, 22, 7, 6), (3, 24, 8, 9)]
+    assert factors(match(0, 3, 7, 6), match(3, 2, 7, 30)) == [(0, 22, 7, 6), (3, 24, 7, 30)]
+    assert factors(match(0, 3, 7, 6), match(4, 2, 7, 10)) == [(0, 22, 7, 6), (4, 25, 7, 10)]
+    assert factors(match(0, 1, (1 << 63) - 1, 6)) == [(0, 20, None, 6)]
+
+
+def test_very_long_texts_of_one_word_and_long_words(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a  # polynomial hashes modulo 2**64 take them for equal
+    rows = [(1, "x " * 200_000), (2, f"{a} " + prose(5, 30)), (3, f"{b} " + prose(5, 30)), (4, " ".join([a] * 20)), (5, " ".join([a] * 19 + [b]))]
+    got = {r["doc_id"]: r for r in remove_duplicate_spans(docs(spark, rows)).collect()}
+    assert (got[1]["n_words"], got[1]["n_removed"]) == (200_000, 199_999)
+    assert got[3]["kept"] == b and got[2]["n_removed"] == 0
+    assert got[4]["n_removed"] == got[5]["n_removed"] == 0
