@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscribe.session import shared_folder, ship_code, stored
+from gridscribe.session import forget, shared_folder, ship_code, stored
 
-__all__ = ["Words", "as_long", "durable", "mix", "prepare", "shared_folder", "slices", "stored", "table", "word_count"]
+__all__ = ["Words", "as_long", "durable", "forget", "mix", "prepare", "shared_folder", "slices", "stored", "table", "word_count"]
 
 #: Characters that part words: blank, tab to carriage return.
 SPACE = r"\x20\x09-\x0D"

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
-def _to_least(pairs: DataFrame, keep) -> DataFrame:
-    """For each u of the pairs (u, v): u's least neighbour, itself included, joined to the neighbours that `keep` takes."""
+def _to_least(pairs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """For each u of the pairs (u, v): u's least neighbour, itself included, joined to the neighbours that `keep` takes; and the table of least neighbours."""
     # Stored, so that the join has an exchange on either side and Spark can split a node with very many neighbours.
     least = stored(pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")))
-    return pairs.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return pairs.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("least").alias("v")), least
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,12 +27,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = _mark(ends)
     while mark[0]:
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_least(both, F.col("v") > F.col("u")).where("u != v")
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        large, nearest = _to_least(both, F.col("v") > F.col("u"))
+        large = large.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         large = stored(large)
         least = stored(large.groupBy("u").agg(F.min("v").alias("least")))
         small = large.join(least, "u").where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
-        ends = stored(small.unionByName(least.select("u", F.col("least").alias("v"))).distinct())
+        before, ends = ends, stored(small.unionByName(least.select("u", F.col("least").alias("v"))).distinct())
+        forget(before, nearest, large, least)  # what they held is in `ends`
         now = _mark(ends)
         if now == mark:
             break

@@ -2,13 +2,15 @@
 
 1. Each text becomes the set of its runs of `n` words. Texts of one set are one class.
 2. Per class, `bands x rows` minima of hashed shingles; bands and rows are chosen for the recall asked for at the
-   threshold. Classes that share a band hash are candidates. A bucket is never expanded into pairs: its
-   members point to its least member, and connected components of these pointers gather candidates.
-3. Full shingle sets are shuffled once, to their component, and only for classes that have a candidate. A
-   component is dealt in tiles of bounded size (block x block); each tile compares whole sets exactly and returns a
-   count of links per class and a spanning forest of the links, not the links themselves.
-
-Nothing is capped: a large component has more tiles, each of the same size.
+   threshold. Classes that share a band hash, a bucket, are candidates. Bands that no other class has are told by a sieve and not shuffled.
+3. A bucket is never expanded into pairs. Each class follows one leader, the least class of all its buckets, and
+   full shingle sets are shuffled once, to their leader's group: there, near copies meet once and not in every bucket that they share. Pairs of
+   different leaders are verified in the least bucket that they share, for those buckets alone that hold several leaders.
+4. Groups and buckets are dealt in tiles of bounded size (block x block); each tile compares whole sets exactly and returns a
+   count of links per class and a spanning forest of the links, not the links themselves. Classes are connected
+   components of verified links; what was a candidate only connects nothing.
+
+Nothing is capped: a large group has more tiles, each of the same size.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .components import connected_components
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: A tile has about twice as many classes, and about twice as many bytes of shingles, at most.
 BLOCK_CLASSES, BLOCK_BYTES = 128, 16 << 20
+#: Copies from which on a class is hot, and the parts that the rows of hot classes are joined in.
+HOT_COPIES, HOT_PARTS = 64, 64
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 144) -> tuple[int, int]:
@@ -106,7 +110,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD
     n_links: number of other rows whose shingle set has a Jaccard similarity of `threshold` at least; n_copies: those
     among them with the very same set; class_id: least doc_id of the rows that links connect, directly or
     through others. Links are verified on full sets; banding proposes a pair with chance `recall` at the
-    threshold, more above it, and pairs of one candidate component are all verified whether banding proposed them
+    threshold, more above it, and pairs that follow one leader are all verified whether banding proposed them
     or not.
 
     Words are runs of characters that are not blanks, unchanged. A text of fewer than n words is one shingle. Null and empty
@@ -114,7 +118,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD
     last; repeated rows are copies. An empty table gives no rows; other columns are not looked at.
     """
     rows, found = _classed(docs, n, threshold, recall)
-    return rows.join(found, "name", "left").select(
+    return _joined(rows, found, "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -130,7 +134,8 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, re
     could drop are told by a sieve and do not move; the others meet the list of dropped rows.
     """
     rows, found = _classed(docs, n, threshold, recall)
-    known = stored(rows.where("name is not null").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), "__hash", "name").join(found.select("name", "root"), "name"))
+    named = rows.where("name is not null").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), "__hash", "name")
+    known = stored(_joined(named, found, "inner").select("__id", "__hash", "root"))
     # Stored, as below: a join with an exchange on either side is one that Spark can split for a very large class.
     first = stored(known.groupBy("root").agg(F.min(F.struct("__id", "__hash")).alias("first")))
     each = known.groupBy("root", "__id", "__hash").agg(F.count("*").alias("n")).join(first, "root")
@@ -185,37 +190,94 @@ def _classed(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     classes = stored(
         rows.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
     )
-    candidates = stored(_candidates(classes))
-    links = _links(narrow.drop("__hash"), candidates, classes, n, threshold)
+    links = _links(narrow.drop("__hash"), classes, n, threshold)
 
     found = classes.join(links, "name", "left").withColumn("root", F.coalesce("root", "name"))
     found = stored(found.drop("bands"))
     least = stored(found.groupBy("root").agg(F.min("first_id").alias("class_id")))
-    found = found.join(least, "root").select("name", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    found = stored(found.join(least, "root").select("name", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies")))
     return rows.select("doc_id", "__hash", "name", "n_shingles"), found
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """name, component for every class that shares a bucket with another."""
-    buckets = classes.select("name", F.explode("bands").alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min("name").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return connected_components(buckets.join(least, "bucket").where(F.col("name") != F.col("least")), "name", "least").withColumnRenamed("node", "name")
+def _name_keys(df: DataFrame) -> DataFrame:
+    """The first eight bytes of each name as a long."""
+
+    def keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_leading(b["name"]).view(np.int64))], names=["key"])
+
+    return df.select("name").mapInArrow(keys, "key long")
+
+
+def _leading(names: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x[:8] if x else bytes(8) for x in names.to_pylist()), np.uint64)
+
+
+def _joined(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows with the columns of their class. Rows of hot classes, told by a sieve of their names, are joined in parts, so that no task has all copies of a text; rows without a class, which meet nothing, likewise."""
+    hot = stored(_name_keys(found.where(F.col("n_copies") >= HOT_COPIES - 1)))
+    sieve = rows.sparkSession.sparkContext.broadcast(build_sieve(hot))
+
+    def mark(batches):
+        for b in batches:
+            yield b.append_column("__hot", pa.array(sieve.value.passes(_leading(b["name"])) if sieve.value.bits is not None and b.num_rows else np.zeros(b.num_rows, bool)))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(mark, df.withColumn("__hot", F.lit(True)).schema)
+
+    of_row = F.when(F.col("__hot") | F.col("name").isNull(), F.pmod(F.xxhash64(*(c for c in rows.columns if c != "name")), F.lit(HOT_PARTS))).otherwise(0)
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    left = marked(rows).withColumn("__part", of_row.cast("int")).drop("__hot")
+    right = marked(found).withColumn("__part", F.explode(parts)).drop("__hot")
+    return left.join(right, ["name", "__part"], how).drop("__part")
+
+
+def _followers(classes: DataFrame) -> DataFrame:
+    """name, leader, buckets (those with other classes in them) for every class that shares a bucket with another; leader: the least class of all these buckets."""
+    counted = classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    repeated = classes.sparkSession.sparkContext.broadcast(build_sieve(stored(counted.where("n > 1").select("bucket"))))
+
+    def shared(batches):
+        for b in batches:
+            bands = b["bands"]
+            buckets, owner = bands.flatten(), pc.list_parent_indices(bands)
+            keep = pa.array(repeated.value.passes(buckets.to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([b["name"].take(owner.filter(keep)), buckets.filter(keep)], names=["name", "bucket"])
+
+    members = stored(classes.select("name", "bands").mapInArrow(shared, "name binary, bucket long"))
+    # Stored, as elsewhere: a join with an exchange on either side is one that Spark can split for a very large bucket.
+    least = stored(members.groupBy("bucket").agg(F.min("name").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return stored(members.join(least, "bucket").groupBy("name").agg(F.min("least").alias("leader"), F.collect_list("bucket").alias("buckets")))
+
+
+def _jobs(followers: DataFrame, classes: DataFrame) -> DataFrame:
+    """name, first_id, copies, leader, place (a group's leader or a bucket), bucket (null in groups), bands, blocks: where each class is to be compared."""
+    known = stored(followers.join(classes.select("name", "first_id", "copies", F.col("n_shingles") * 8, "bands").toDF("name", "first_id", "copies", "bytes", "bands"), "name"))
+
+    def blocks(key: str, df: DataFrame) -> DataFrame:
+        size = df.groupBy(key).agg(F.count("*").alias("n"), F.sum("bytes").alias("all"), F.min("leader").alias("low"), F.max("leader").alias("high"))
+        count = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("all") / BLOCK_BYTES)).cast("int")
+        return stored(size.where("n > 1").select(key, count.alias("blocks"), "low", "high"))
+
+    columns = ["name", "first_id", "copies", "leader", "place", "bucket", "bands", "blocks"]
+    groups = known.join(blocks("leader", known).select("leader", "blocks"), "leader").withColumns({"place": F.col("leader"), "bucket": F.lit(None).cast("long"), "bands": F.lit(None).cast("array<long>")})
+    spread = known.withColumn("bucket", F.explode("buckets"))
+    several = blocks("bucket", spread).where("low <> high").select("bucket", "blocks")
+    across = spread.join(several, "bucket").withColumn("place", F.unhex(F.lpad(F.hex("bucket"), 16, "0")))  # eight bytes, where a leader has sixteen
+    return stored(groups.select(*columns).unionByName(across.select(*columns)))
 
 
-def _links(narrow: DataFrame, candidates: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
+def _links(narrow: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """name, links (rows, copies counted), root for every class with a link to another class."""
     spark = narrow.sparkSession
-    known = candidates.join(classes.select("name", "first_id", "copies", "n_shingles"), "name")
-    size = known.groupBy("component").agg(F.count("*").alias("classes"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    members = stored(known.join(size.select("component", blocks.alias("blocks")), "component"))
+    jobs = _jobs(_followers(classes), classes)
 
     def keys(batches):
         for batch in batches:
             own = [_row_key(i, x) for i, x in zip(batch["first_id"].to_pylist(), batch["name"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64())], names=["key"])
 
-    sieve = spark.sparkContext.broadcast(build_sieve(members.select("first_id", "name").mapInArrow(keys, "key long")))
+    sieve = spark.sparkContext.broadcast(build_sieve(stored(jobs.select("first_id", "name").distinct().mapInArrow(keys, "key long"))))
 
     def sets_of_candidates(batches):
         for batch in batches:
@@ -228,20 +290,20 @@ def _links(narrow: DataFrame, candidates: DataFrame, classes: DataFrame, n: int,
                 yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in keep], pa.int64()), pa.array([names[i] for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["first_id", "name", "shingles"])
 
     shipped = narrow.mapInArrow(sets_of_candidates, "first_id long, name binary, shingles binary")
-    whole = shipped.join(members.withColumnRenamed("first_id", "stands"), "name").where(F.col("first_id").eqNullSafe(F.col("stands")))
+    whole = shipped.join(jobs.withColumnRenamed("first_id", "stands"), "name").where(F.col("first_id").eqNullSafe(F.col("stands")))
     block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     dealt = whole.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "copies", "shingles")
+    tiles = dealt.select("place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "copies", "leader", "bucket", "bands", "shingles")
 
     def verify(group: pa.Table) -> pa.Table:
         return verified(group, threshold)
 
-    found = stored(tiles.groupBy("component", "i", "j").applyInArrow(verify, "name binary, links long, root binary"))
-    counts = found.groupBy("name").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    if (members.agg(F.max("blocks")).first()[0] or 1) == 1:
-        return counts  # every component was one tile, so its roots are final
+    found = stored(tiles.groupBy("place", "i", "j").applyInArrow(verify, "name binary, links long, root binary"))
+    counts = found.groupBy("name").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.count("*").alias("tiles"))
+    if (counts.agg(F.max("tiles")).first()[0] or 1) == 1:
+        return counts.drop("tiles")  # every class was linked in one tile, so its roots are final
     roots = connected_components(found, "name", "root").select(F.col("node").alias("name"), F.col("component").alias("root"))
-    return counts.drop("root").join(roots, "name")
+    return counts.drop("root", "tiles").join(roots, "name")
 
 
 def verified(group: pa.Table, threshold: float) -> pa.Table:
@@ -251,9 +313,15 @@ def verified(group: pa.Table, threshold: float) -> pa.Table:
     sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
     block = group["block"].to_numpy()
     crossed = group["i"][0].as_py() != group["j"][0].as_py()
-    linked = similar(sets, threshold)
-    if crossed:
-        linked &= block[:, None] != block[None, :]
+    wanted = block[:, None] != block[None, :] if crossed else np.ones((len(names), len(names)), bool)
+    if group["bucket"][0].is_valid:  # pairs of different leaders that share no lesser bucket
+        leader = np.unique(np.array(group["leader"].to_pylist(), dtype=object), return_inverse=True)[1]
+        bands = np.array(group["bands"].to_pylist(), np.int64)
+        before = int(np.flatnonzero(bands[0] == group["bucket"][0].as_py())[0])
+        wanted &= leader[:, None] != leader[None, :]
+        for k in range(before):
+            wanted &= bands[:, k, None] != bands[None, :, k]
+    linked = similar(sets, threshold) & wanted if wanted.any() else wanted
     weights = linked.astype(np.int64) @ copies
     order = np.argsort(np.array(names, dtype=object), kind="stable")
     rank = np.empty(len(names), np.int64)
@@ -318,6 +386,7 @@ def _common(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies, n_shingles of every row of documents; nulls, repeated rows and empty tables as in `jaccard_join`."""
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
