@@ -28,11 +28,13 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; only where it names none (tests), a folder of our own."""
+    """The checkpoint folder that the session names; only in local mode, as in tests, a folder of our own where it names none."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="gridscribe-checkpoint-")
         context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
@@ -42,4 +44,16 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder: much smaller than a checkpoint, for many rows of numbers."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `stored` made, once everything that was derived from them is stored, too."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
