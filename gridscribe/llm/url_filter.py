@@ -7,13 +7,17 @@ levels are built over every key of the corpus, the answer is exact for each of t
 
 Each level is built where the keys are (a task sets bits of its own rows; words of bits are merged by
 `bit_or`), and only the finished bits come to the driver, to be broadcast. Their size is known before they are built:
-about `ln(2)**-2 * log2(1/p)` bits for each key encoded. If a cascade would be over `max_bytes`, the
-keys are parted by hash into as many shards as needed, and each shard's cascade judges its own rows.
+about `ln(2)**-2 * log2(1/p)` bits for each key encoded.
+
+If a cascade would be over `max_bytes`, keys are parted by hash into shards of a fixed size. Each shard's cascade is built by one task from its own
+keys, and rows go, in one pass, to where their shard's cascade is: it comes before them in their partition. A key that very many
+rows have is dealt over several partitions.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -22,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, prepare, table
+from .common import durable, mix, prepare, stored, table
 
 #: Largest cascade that one broadcast may hold.
 MAX_BYTES = 64 << 20
-#: Host labels, between dots and hyphens, that put a host on the block list of op5.
+#: Keys of the corpus in a shard, and partitions that the rows of a shard are dealt over, where one cascade would be too large.
+SHARD_KEYS, SHARD_PARTS = 1_000_000, 16
+#: Words, between dots and hyphens, of the hosts that the block list of op5 has.
 BLOCK_TERMS = ("adult", "bet", "bets", "betting", "casino", "gambling", "jackpot", "lottery", "pills", "poker", "porn", "slots", "viagra", "xxx")
 #: Fixed rules of op5: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -117,11 +123,32 @@ def build_cascade(keys: DataFrame, most_levels: int = 200) -> list[Level]:
     return levels
 
 
-def _level(rows: DataFrame, inside: int, outside: int, salt: int) -> Level:
-    # The first level is as fine as pays against the share of listed keys; the others halve.
+def _shape(inside: int, outside: int, salt: int) -> tuple[int, int]:
+    """Hashes and 64-bit words of a level: the first one is as fine as pays against the share of listed keys; the others halve."""
     p = min(0.5, max(1e-6, math.sqrt(0.5) * inside / max(1, outside))) if salt == 0 else 0.5
     hashes = max(1, round(-math.log2(p)))
-    words = max(1, math.ceil(max(1, inside) * hashes / math.log(2) / 64))
+    return hashes, max(1, math.ceil(max(1, inside) * hashes / math.log(2) / 64))
+
+
+def cascade_of(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray, most_levels: int = 200) -> list[Level]:
+    """Cascade over keys that one task holds."""
+    levels: list[Level] = []
+    while not levels or (listed == (len(levels) % 2 == 0)).any():
+        if len(levels) == most_levels:
+            raise ValueError("two keys share both of their hashes; build with other seeds")
+        encodes = listed == (len(levels) % 2 == 0)
+        hashes, words = _shape(int(encodes.sum()), int((~encodes).sum()), len(levels))
+        bits = np.zeros(words, np.uint64)
+        for at in _positions(h1[encodes], h2[encodes], hashes, len(levels), words * 64):
+            np.bitwise_or.at(bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        levels.append(Level(bits, hashes, len(levels)))
+        held = levels[-1].holds(h1, h2)
+        h1, h2, listed = h1[held], h2[held], listed[held]
+    return levels
+
+
+def _level(rows: DataFrame, inside: int, outside: int, salt: int) -> Level:
+    hashes, words = _shape(inside, outside, salt)
     spread = words * 64
 
     def words_of(batches):
@@ -144,58 +171,98 @@ def cascade_bytes(inside: int, outside: int) -> float:
     return (inside * max(1, round(-math.log2(p))) + 4 * (inside + p * outside)) / math.log(2) / 8 + 1600
 
 
-def mark_listed(rows: DataFrame, key: str, is_listed: Column, out: str = "listed", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """`rows` with a boolean column `out`: whether the row's key is one of the listed keys of the corpus.
+def mark_listed(rows: DataFrame, key: str, listed: DataFrame, out: str = "listed", max_bytes: int = MAX_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """`rows` with a boolean column `out`: whether the row's key stands in `listed`, a table whose first column has the listed keys.
 
-    `is_listed` says of a key of `rows` whether the list has it; it is evaluated once for each distinct
-    key, and every row is then judged by the cascade alone. A null key is a key like others (the empty
-    text). An empty table gives no rows. Columns of `rows` stay; `out` replaces one of that name.
+    The corpus's keys and the list meet once, as distinct hashes, in an aggregate; every row is then judged by the cascade alone. Listed keys that
+    no row has are left out of it. A null key, listed or not, is the empty text. Keys listed twice count once. An empty list lists
+    nothing; an empty table gives no rows. Columns of `rows` stay; `out` replaces one of that name.
     """
     spark = rows.sparkSession
     prepare(spark)
-    text = F.coalesce(F.col(key), F.lit(""))
-    hashes = [F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")]
-    universe = durable(rows.groupBy(text.alias(key)).agg(F.lit(1)).select(F.coalesce(is_listed, F.lit(False)).alias("listed"), *hashes))
+
+    def hashes(text: Column) -> list[Column]:
+        text = F.coalesce(text.cast("string"), F.lit(""))
+        return [F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")]
+
+    own = rows.select(*hashes(F.col(key)), F.lit(True).alias("here"), F.lit(False).alias("there"))
+    theirs = listed.select(*hashes(F.col(listed.columns[0])), F.lit(False).alias("here"), F.lit(True).alias("there"))
+    met = own.unionAll(theirs).groupBy("h1", "h2").agg(F.max("here").alias("here"), F.max("there").alias("listed"))
+    universe = durable(met.where("here").select("h1", "h2", "listed"))
     counted = universe.agg(F.count_if("listed").alias("inside"), F.count_if(~F.col("listed")).alias("outside")).first()
-    universe = universe.coalesce(1 + (counted["inside"] + counted["outside"]) // 200_000)
-    shards = max(1, math.ceil(cascade_bytes(counted["inside"], counted["outside"]) / max_bytes))
     columns = [c for c in rows.columns if c != out]
-    hashed = rows.select(*columns, hashes[0].alias("__h1"), hashes[1].alias("__h2"))
+    h1, h2 = hashes(F.col(key))
+    hashed = rows.select(*columns, h1.alias("__h1"), h2.alias("__h2"))
     schema = hashed.select(*columns).withColumn(out, F.lit(True)).schema
-    parts = []
-    for shard in range(shards):  # one, unless the cascade would be over max_bytes
-        mine = lambda h: F.lit(True) if shards == 1 else F.pmod(F.col(h), F.lit(shards)) == shard
-        cast = spark.sparkContext.broadcast(build_cascade(universe.where(mine("h1"))))
+    if cascade_bytes(counted["inside"], counted["outside"]) > max_bytes:
+        return _judged_in_shards(hashed, universe, math.ceil((counted["inside"] + counted["outside"]) / shard_keys), schema)
+    universe = universe.coalesce(1 + (counted["inside"] + counted["outside"]) // 200_000)
+    cast = spark.sparkContext.broadcast(build_cascade(universe))
+
+    def judge(batches):
+        for b in batches:
+            is_in = listed_by(cast.value, _unsigned(b, "__h1"), _unsigned(b, "__h2"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns - 2)), pa.array(is_in)], schema=pa.schema([*list(b.schema)[:-2], pa.field(out, pa.bool_())]))
+
+    return hashed.mapInArrow(judge, schema)
 
-        def judge(batches, cast=cast):
-            for b in batches:
-                is_in = listed_by(cast.value, _unsigned(b, "__h1"), _unsigned(b, "__h2"))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns - 2)), pa.array(is_in)], schema=pa.schema([*list(b.schema)[:-2], pa.field(out, pa.bool_())]))
 
-        parts.append(hashed.where(mine("__h1")).mapInArrow(judge, schema))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionAll(part)
-    return whole
+def _judged_in_shards(hashed: DataFrame, universe: DataFrame, shards: int, schema) -> DataFrame:
+    """Rows (with __h1 and __h2 last) judged by the cascade of their shard, in one pass over rows and one over keys."""
+    shard = lambda h: F.pmod(F.col(h), F.lit(shards)).cast("int").alias("__shard")
 
+    def build(group: pa.Table) -> pa.Table:
+        levels = cascade_of(_unsigned(group, "h1"), _unsigned(group, "h2"), group["listed"].to_numpy())
+        return pa.table({"__shard": pa.array([group["__shard"][0].as_py()], pa.int32()), "__levels": pa.array([pickle.dumps(levels)], pa.binary())})
+
+    built = stored(universe.withColumn("__shard", shard("h1")).groupBy("__shard").applyInArrow(build, "__shard int, __levels binary"))
+    cascades = built.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SHARD_PARTS - 1))))
+    rows = hashed.withColumns({"__shard": shard("__h1"), "__part": F.pmod(F.xxhash64(*hashed.columns), F.lit(SHARD_PARTS)).cast("int"), "__levels": F.lit(None).cast("binary")})
+    # A shard's cascade sorts before its rows, as the rows' own column is null.
+    together = rows.unionByName(cascades, allowMissingColumns=True).repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", F.col("__levels").isNull())
+
+    def judge(batches):
+        levels: list[Level] = []
+        for b in batches:
+            carries = b.column("__levels").is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(carries)).tolist(), b.num_rows]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if begin < end and carries[begin]:
+                    levels = pickle.loads(b.column("__levels")[begin].as_py())
+                    begin += 1
+                part = b.slice(begin, end - begin)
+                is_in = listed_by(levels, _unsigned(part, "__h1"), _unsigned(part, "__h2")) if part.num_rows else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(schema) - 1)), pa.array(is_in)], names=schema.names)
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block_terms: Sequence[str] = BLOCK_TERMS) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed for every page.
+    return together.mapInArrow(judge, schema)
 
-    Rules come first, the longest one that fits; else a page is blocked if its host is on the block
-    list: hosts of the corpus with one of `block_terms` between dots or hyphens. Null urls and urls
-    without :// have an empty host and path. Repeated urls and pages are judged alike, each on its own row.
+
+def hosts_with(hosts: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """A block list: the distinct hosts of a table (host) that have one of the terms between dots or hyphens."""
+    return hosts.where(F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, terms)))).select("host").distinct()
+
+
+def judge_urls(pages: DataFrame, block_list: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed for every row of `pages` (page_id, url).
+
+    Rules come first, the longest one that fits; else a page is blocked if its host stands in `block_list`, a table whose first column has hosts.
+    Null urls and urls without :// have an empty host and path. Repeated urls and pages are judged alike, each on its own row; an empty table gives no rows;
+    other columns are not looked at.
     """
-    parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    is_listed = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, block_terms)))
-    marked = mark_listed(parts, "host", is_listed)
+    marked = mark_listed(parts_of(pages), "host", block_list)
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
     return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed")
 
 
+def parts_of(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+
+
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    """A verdict for every row of pages. The block list is a table of hosts, here those of the corpus with one of BLOCK_TERMS."""
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, hosts_with(parts_of(pages), BLOCK_TERMS))
 
 
 _HOST = r"coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')"
