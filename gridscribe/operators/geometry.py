@@ -193,11 +193,18 @@ def continuations(tables: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def title_above(tables: DataFrame, lines: DataFrame, reach: float = 30.0) -> DataFrame:
-    """`tables` with `title_line`: the text of the nearest line that ends at most `reach` above it."""
-    t, s = tables.alias("t"), lines.select(*PAGE, F.col("text").alias("__text"), F.col("top").alias("__top"), F.col("bottom").alias("__bottom"))
-    near = (F.col("__bottom") <= F.col("top") + 1) & (F.col("top") - F.col("__bottom") <= reach)
-    best = t.join(s, PAGE).where(near).groupBy(*PAGE, "table_id").agg(F.max_by("__text", "__top").alias("title_line"))
-    return tables.join(best, [*PAGE, "table_id"], "left")
+    """`tables` with `title_line`, the last line above it if that ends at most `reach` above, and `title_text`: that line's paragraph, from its start to there.
+
+    `lines` have starts_paragraph.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("top", "x0")
+    paragraph = F.sum(F.col("starts_paragraph").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    so_far = Window.partitionBy(*PAGE, "__p").orderBy("top", "x0").rowsBetween(Window.unboundedPreceding, 0)
+    said = lines.withColumn("__p", paragraph).withColumn("__said", F.array_join(F.collect_list("text").over(so_far), " "))
+    s = said.select(*PAGE, F.struct("top", "x0", "bottom", "text", F.col("__said").alias("said")).alias("s"))
+    above = tables.select(*PAGE, "table_id", F.col("top").alias("__at")).join(s, PAGE).where(F.col("s.bottom") <= F.col("__at") + 1)
+    best = above.groupBy(*PAGE, "table_id", "__at").agg(F.max("s").alias("s")).where(F.col("__at") - F.col("s.bottom") <= reach)
+    return tables.join(best.select(*PAGE, "table_id", F.col("s.text").alias("title_line"), F.col("s.said").alias("title_text")), [*PAGE, "table_id"], "left")
 
 
 # --- detection -----------------------------------------------------------------------------------------------------------
@@ -209,6 +216,14 @@ def draws_nothing(fill: Column, stroke: Column) -> Column:
     return ~F.coalesce(stroke, F.lit(False)) & (fill.isNull() | white)
 
 
+def visible_rules(rulings: DataFrame) -> DataFrame:
+    """RULINGS without those of shapes that draw nothing, where `fill` (its colour, or null) and `stroke` are known; a rule without them is a line."""
+    if not {"fill", "stroke"} <= set(rulings.columns):
+        return rulings
+    drawn = F.col("stroke").isNull() | ~draws_nothing(F.col("fill"), F.col("stroke"))
+    return rulings.where(drawn).drop("fill", "stroke")
+
+
 def large_enough(tables: DataFrame) -> DataFrame:
     return tables.where((F.col("x1") - F.col("x0") > 20) & (F.col("bottom") - F.col("top") > 15))
 
@@ -327,10 +342,29 @@ def best_trims(lines_words: DataFrame, most: int = 2) -> DataFrame:
     return found.groupBy(*run).agg(F.max_by(F.struct(*columns), score).alias("best")).select(*run, "best.*")
 
 
-def borderless_cells(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def absorbed_rules(tables: DataFrame, rulings: DataFrame, reach: float = 25.0) -> DataFrame:
+    """`tables` (doc_id, page, table_id, xs, ys) widened by the level rules that belong to them: at least 0.7 as wide, and `reach` away at most.
+
+    A rule widens the first and last column to hold it, and parts rows unless an edge is within 2 of it.
+    """
+    key = [*PAGE, "table_id"]
+    level = rulings.where(F.col("bottom") - F.col("top") <= 2).select(*PAGE, F.struct(((F.col("top") + F.col("bottom")) / 2).alias("y"), F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("top").alias("at")).alias("r"))
+    wide = F.col("r.b") - F.col("r.a") >= 0.7 * (F.element_at("xs", -1) - F.element_at("xs", 1))
+    near = F.col("r.at").between(F.element_at("ys", 1) - reach, F.element_at("ys", -1) + reach)
+    mine = tables.join(level, PAGE).where(wide & near).groupBy(*key).agg(F.array_sort(F.collect_list("r")).alias("rules"))
+    met = tables.join(mine, key, "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<struct<y: double, a: double, b: double, at: double>>")))
+    left = F.array_min(F.transform("rules", lambda r: r["a"] - 1))
+    right = F.array_max(F.transform("rules", lambda r: r["b"] + 1))
+    xs = F.concat(F.array(F.least(F.element_at("xs", 1), left)), F.slice("xs", 2, F.size("xs") - 2), F.array(F.greatest(F.element_at("xs", -1), right)))
+    ys = F.aggregate("rules", F.col("ys"), lambda acc, r: F.when(F.exists(acc, lambda e: F.abs(e - r["y"]) <= 2), acc).otherwise(F.array_append(acc, r["y"])))
+    return met.withColumn("xs", xs).withColumn("ys", F.array_sort(ys)).drop("rules")
+
+
+def borderless_cells(words: DataFrame, rulings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Cells (doc_id, page, table_id, box) and tables (doc_id, page, table_id, box, xs, ys, edges) of columns of words without rules.
 
-    Runs of lines that stand close are looked at by themselves; columns part in the middle of gutters, rows midway between lines.
+    Runs of lines that stand close are looked at by themselves; columns part in the middle of gutters, rows midway between lines. Level rules of
+    `rulings` above, under or in a table become its own.
     """
     lined = line_words(words, PAGE)
     boxes = lined.groupBy(*PAGE, "line_no").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"))
@@ -345,6 +379,8 @@ def borderless_cells(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     ys = F.concat(F.array(F.get("spans", F.lit(0))["t"] - 1), between, F.array(F.element_at("spans", -1)["b"] + 1))
     widened = F.concat(F.array(F.col("x0") - 1), F.slice("edges", 2, F.size("edges") - 2), F.array(F.col("x1") + 1))
     found = best.join(spans, [*PAGE, "run"]).withColumns({"xs": widened, "ys": ys}).withColumn("table_id", F.concat_ws("/", "doc_id", "page", F.format_string("%.1f", F.get("ys", F.lit(0))), F.lit("run")))
+    if rulings is not None:
+        found = absorbed_rules(found.select(*PAGE, "table_id", "xs", "ys"), rulings)
     tables = found.select(*PAGE, "table_id", *(F.expr(e) for e in ("xs[0] x0", "ys[0] top", "element_at(xs, -1) x1", "element_at(ys, -1) bottom")), "xs", "ys", kept_edges(F.col("xs")).alias("edges"))
     rows = tables.select(*PAGE, "table_id", "xs", "ys", F.explode(F.sequence(F.lit(0), F.size("ys") - 2)).alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.size("xs") - 2)))
     cells = rows.select(*PAGE, "table_id", F.get("xs", F.col("c")).alias("x0"), F.get("ys", F.col("r")).alias("top"), F.get("xs", F.col("c") + 1).alias("x1"), F.get("ys", F.col("r") + 1).alias("bottom"))

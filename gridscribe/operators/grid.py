@@ -177,27 +177,24 @@ def _fused(run: list[Cell]) -> Cell:
 
 
 def header_rows(grid: Grid) -> int:
-    """Rows of the header band that geometry shows; 0 for none."""
+    """Rows of the header band that geometry shows; 0 for none.
+
+    The first row is one if no other has more filled cells and all of it can be names. The band goes on to the first row with a
+    cell that is no name, or that stands under none.
+    """
     if min(grid.n_rows, grid.n_cols) < 2:
         return 0
-    top = grid.row(0)
-    filled = [c for c in top if c.filled]
-    numeric = lambda c: L.NUMERIC.fullmatch(c.text.strip()) is not None
-    widest = max(sum(c.filled for c in grid.row(r)) for r in range(1, grid.n_rows))
-    if (
-        len(filled) < max(1, widest, 2 if grid.n_cols >= 3 else 1)
-        or any(L.is_bullet(c.text) or len(c.text) > HEADER_CHARS for c in filled)
-        or all(map(numeric, filled))
-        or not all(_may_head(grid, c) for c in top)
-    ):
+    filled = [c for c in grid.cells if c.filled]
+    in_row = np.bincount([c.row for c in filled], minlength=grid.n_rows)
+    top = [c for c in filled if c.row == 0]
+    numeric = {c for c in filled if L.NUMERIC.fullmatch(c.text.strip())}
+    enough = in_row[0] >= max(in_row[1:].max(), 2 if grid.n_cols >= 3 else 1)
+    names = not any(L.is_bullet(c.text) or len(c.text) > HEADER_CHARS for c in top) and not numeric.issuperset(top)
+    if not (enough and names and all(_may_head(grid, c) for c in grid.row(0))):
         return 0
-    below = {c.col for c in filled if c.row_span == 1}
-    band = 1
-    for r in range(1, min(max(c.row_span for c in top), BAND_ROWS, grid.n_rows - 1)):
-        if any(L.is_bullet(c.text) or c.col not in below or numeric(c) for c in grid.row(r) if c.filled):
-            break
-        band = r + 1
-    return band
+    open_below = {c.col for c in top if c.row_span == 1}
+    ends = {c.row for c in filled if c.row and (c in numeric or c.col not in open_below or L.is_bullet(c.text))}
+    return min(BAND_ROWS, grid.n_rows - 1, max(c.row_span for c in grid.row(0)), *ends)
 
 
 def _may_head(grid: Grid, cell: Cell) -> bool:
@@ -416,7 +413,7 @@ def flatten_tables(cells: DataFrame, inherited: DataFrame | None = None, declare
     """FLAT rows for every table of CELLS, each table in one group.
 
     `inherited` (doc_id, table_id, headers) has the headers of the page before; `declared` (doc_id, table_id, rows) the
-    header rows that a file states, and marks the tables of formats that could.
+    header rows that a file states, and marks the tables of formats that could. n_rows and n_cols are those of the grid with stated header rows as one.
     """
     ship_code(cells.sparkSession)
     keys = ["doc_id", "table_id"]
@@ -430,6 +427,6 @@ def flatten_tables(cells: DataFrame, inherited: DataFrame | None = None, declare
         if pd.notna(one["stated"]):
             grid, structure = stated_structure(grid, int(one["stated"]))
         out, headers, (band, named) = flatten_grid(grid, None if one["before"] is None else list(one["before"]), structure)
-        return pd.DataFrame([{"doc_id": one["doc_id"], "table_id": one["table_id"], "lines": out, "headers": headers, "header_rows": band, "label_column": bool(named)}])
+        return pd.DataFrame([{"doc_id": one["doc_id"], "table_id": one["table_id"], "lines": out, "headers": headers, "header_rows": band, "label_column": bool(named), "n_rows": grid.n_rows, "n_cols": grid.n_cols}])
 
     return rows.groupBy(*keys).applyInPandas(flatten, FLAT)

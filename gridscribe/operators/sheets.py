@@ -65,7 +65,9 @@ def is_table(grids: DataFrame) -> DataFrame:
     return grids.withColumn("is_table", (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2))
 
 
-def title_rows(reference, first_row):
-    """Rows that `$a:$b` print titles declare, if they begin where the block begins; else 0."""
-    a, b = (F.regexp_extract(reference, r"\$(\d+):\$(\d+)", k).try_cast("int") for k in (1, 2))
-    return F.when(a == first_row, b - a + 1).otherwise(0)
+def title_rows(blocks: DataFrame, titles: DataFrame) -> DataFrame:
+    """doc_id, table_id, rows: leading rows of each block that print titles (doc_id, sheet_idx, first, last) declare as headers, if they begin where the block begins; else 0."""
+    met = blocks.join(titles, SHEET, "left")
+    rows = F.when(F.col("first") == F.col("first_row"), F.least("last", "last_row") - F.col("first") + 1)
+    named = met.select("doc_id", F.format_string("%04d/%04d", "sheet_idx", "block").alias("table_id"), F.greatest(F.coalesce(rows, F.lit(0)), F.lit(0)).alias("rows"))
+    return named.groupBy("doc_id", "table_id").agg(F.max("rows").cast("int").alias("rows"))

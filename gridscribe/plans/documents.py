@@ -16,10 +16,27 @@ from gridscribe.sources import office
 PATHS = "array<int>"
 
 
-def _numbered(flat: DataFrame, plan: DataFrame) -> DataFrame:
-    """NUMBERED lines of FLAT tables placed by `plan` (doc_id, table_id, seq, path, title, continued); tables without lines take no number."""
+def _numbered(flat: DataFrame, plan: DataFrame, numbering: bool = True) -> DataFrame:
+    """NUMBERED lines of FLAT tables placed by `plan` (doc_id, table_id, seq, section, path, title, continued); tables without lines take no number.
+
+    The caption of a table that has its section's own number is the heading above it, and is not said again.
+    """
     met = flat.join(plan, ["doc_id", "table_id"])
-    return outline.number_documents(met.select("doc_id", "table_id", "seq", "lines", "path", "title", "headers", "continued"))
+    if not numbering:
+        return unnumbered(met)
+    title = F.when(F.col("path") == F.col("section"), "").otherwise(F.col("title"))
+    return outline.number_documents(met.select("doc_id", "table_id", "seq", "lines", "path", title.alias("title"), "headers", "continued"))
+
+
+def unnumbered(flat: DataFrame) -> DataFrame:
+    """NUMBERED rows of FLAT tables with seq, without numbers: each table's lines, under a line of its headers where no row says them.
+
+    A document has a line of headers once, however many pages its table goes over.
+    """
+    said = flat.withColumn("head", T.unsaid_header_line(F.col("lines"), F.col("headers")))
+    first = F.row_number().over(Window.partitionBy("doc_id", "head").orderBy("seq", "table_id")) == 1
+    lines = F.concat(F.when((F.col("head") != "") & first, F.array("head")).otherwise(F.array().cast("array<string>")), F.col("lines"))
+    return said.withColumn("lines", lines).select("doc_id", "table_id", F.posexplode("lines").alias("seq", "line"))
 
 
 # --- word files ---------------------------------------------------------------------------------------------------
@@ -76,35 +93,45 @@ def word_outline(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("table_id is not null").drop("path"), found.where("path is not null").select("doc_id", "path")
 
 
-def flatten_word_files(files: DataFrame) -> DataFrame:
+def flatten_word_files(files: DataFrame, numbering: bool = True) -> DataFrame:
     """NUMBERED lines of the tables of word files (doc_id, content): body tables on the document's outline, those of other stories at its root."""
     flat = stored(flatten_tables(office.word_cells(files), declared=office.declared_headers(files)).where(F.size("lines") > 0))
     tables, heads = word_outline(files)
     body = flat.select("doc_id", "table_id").join(tables, ["doc_id", "table_id"], "left")
     placed = body.select("doc_id", "table_id", F.coalesce("seq", F.lit(1 << 30)).alias("seq"), F.coalesce("section", F.array().cast(PATHS)).alias("section"), F.coalesce("title", F.lit("")).alias("title"))
-    plan = outline.table_numbers(placed, heads, ["seq", "table_id"]).withColumn("continued", F.lit(False))
-    return _numbered(flat, plan)
+    by_story = [F.substring_index("table_id", "/", 1), F.substring_index("table_id", "/", -1).cast("int")]
+    plan = outline.table_numbers(placed, heads, ["seq", *by_story]).withColumn("continued", F.lit(False))
+    return _numbered(flat, plan, numbering)
 
 
 # --- sheets ---------------------------------------------------------------------------------------------------------
 
 
-def flatten_sheet_files(files: DataFrame) -> DataFrame:
-    """NUMBERED lines of sheets (doc_id, content): sheets are sections if several have values; a block that is no table names the next table."""
-    cells = stored(sheets.block_cells(stored(office.sheet_cells(files)), stored(office.merges(files))))
-    blocks = cells.groupBy("doc_id", "table_id").agg(F.max(F.col("row") + F.col("row_span")).alias("n_rows"), F.max(F.col("col") + F.col("col_span")).alias("n_cols"))
-    flat = flatten_tables(cells, declared=blocks.select("doc_id", "table_id", F.lit(0).alias("rows")))
-    each = flat.join(sheets.is_table(blocks), ["doc_id", "table_id"]).withColumn("sheet", F.substring_index("table_id", "/", 1))
-    order = Window.partitionBy("doc_id", "sheet").orderBy("table_id")
+def flatten_sheet_files(files: DataFrame, numbering: bool = True) -> DataFrame:
+    """NUMBERED lines of sheets (doc_id, content).
+
+    Sheets are sections if several have values, each under a line with its number and name (block 0); print titles are header rows; a block that is no
+    table once these are one row has its lines as they are, and names the next table. The one table of a sheet has the sheet's number.
+    """
+    raw, merged = stored(office.sheet_cells(files)), stored(office.merges(files))
+    cells = stored(sheets.block_cells(raw, merged))
+    flat = stored(flatten_tables(cells, declared=sheets.title_rows(sheets.sheet_blocks(raw, merged), office.print_titles(files))).where(F.size("lines") > 0))
+    sheet, block = (F.substring_index("table_id", "/", k).cast("int") for k in (1, -1))
+    each = sheets.is_table(flat).withColumns({"sheet": sheet, "block": block})
+    order = Window.partitionBy("doc_id", "sheet").orderBy("block")
     last = T.strip_bullet(F.try_element_at(F.filter("lines", lambda x: x != ""), F.lit(-1)))
     before = F.lag(F.when(~F.col("is_table"), T.table_title(last, True))).over(order)
     number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("sheet"))
     titled = each.withColumns({"title": F.coalesce(before, F.lit("")), "n": number, "sheets": F.size(F.collect_set("sheet").over(Window.partitionBy("doc_id")))})
-    section = F.when(F.col("sheets") > 1, F.array("n")).otherwise(F.array().cast(PATHS))
-    tables = titled.where("is_table and size(lines) > 0").select("doc_id", "table_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("table_id")).alias("seq"), section.alias("section"), "title")
-    heads = titled.where("sheets > 1").select("doc_id", F.array("n").alias("path")).distinct()
-    plan = outline.table_numbers(tables, heads, ["table_id"]).withColumn("continued", F.lit(False))
-    return _numbered(flat, plan)
+    titled = titled.withColumn("section", F.when(F.col("sheets") > 1, F.array("n")).otherwise(F.array().cast(PATHS)))
+    tables = titled.where("is_table").select("doc_id", "table_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet", "block")).alias("seq"), "section", "title")
+    several = titled.where("sheets > 1").select("doc_id", "sheet", "n").distinct()
+    plan = outline.table_numbers(tables, several.select("doc_id", F.array("n").alias("path")), ["seq"]).withColumn("continued", F.lit(False))
+    names = raw.select("doc_id", F.col("sheet_idx").alias("sheet"), F.col("sheet").alias("name")).distinct()
+    start = F.concat(F.col("n").cast("string"), F.lit(". ")) if numbering else F.lit("")
+    heads = several.join(names, ["doc_id", "sheet"]).select("doc_id", F.format_string("%04d/0000", "sheet").alias("table_id"), F.lit(0).alias("seq"), F.concat(start, "name").alias("line"))
+    others = titled.where("not is_table").select("doc_id", "table_id", F.posexplode("lines").alias("seq", "line"))
+    return _numbered(flat, plan, numbering).unionByName(others).unionByName(heads)
 
 
 # --- positioned pages --------------------------------------------------------------------------------------------------
@@ -116,6 +143,7 @@ def page_cells(words: DataFrame, rulings: DataFrame) -> tuple[DataFrame, DataFra
     A table inside a cell is flattened first; its lines stand in that cell, its words nowhere else.
     """
     keys = ["doc_id", "page", "table_id"]
+    rulings = G.visible_rules(rulings)
     ruled = stored(G.tables_of_cells(G.ruled_cells(rulings)))
     edges = lambda *c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(*c)))))
     boxes = ruled.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), edges("x0", "x1").alias("xs"), edges("top", "bottom").alias("ys"))
@@ -129,10 +157,17 @@ def page_cells(words: DataFrame, rulings: DataFrame) -> tuple[DataFrame, DataFra
     cells = _filled_cells(own, ruled, outer)
     spliced = G.splice_nested(cells, within.join(lines, ["doc_id", "child"]))
     free = G.words_outside(words, outer)
-    plain_cells, plain = (stored(x) for x in G.borderless_cells(free))
+    plain_cells, plain = (stored(x) for x in G.borderless_cells(free, _rules_outside(rulings, outer)))
     return spliced.unionByName(_filled_cells(free, plain_cells, plain)), stored(outer.unionByName(plain))
 
 
+def _rules_outside(rulings: DataFrame, tables: DataFrame) -> DataFrame:
+    """Rules that are no ruled table's own."""
+    x, y = (rulings["x0"] + rulings["x1"]) / 2, (rulings["top"] + rulings["bottom"]) / 2
+    inside = x.between(tables["x0"] - 3, tables["x1"] + 3) & y.between(tables["top"] - 3, tables["bottom"] + 3)
+    return rulings.join(tables, (rulings["doc_id"] == tables["doc_id"]) & (rulings["page"] == tables["page"]) & inside, "left_anti")
+
+
 def _centre_in(words: DataFrame):
     cx, cy = (words["x0"] + words["x1"]) / 2, (words["top"] + words["bottom"]) / 2
     return cx.between(F.col("b.x0"), F.col("b.x1")) & cy.between(F.col("b.top"), F.col("b.bottom"))
@@ -156,11 +191,12 @@ def _filled_cells(words: DataFrame, ruled: DataFrame, tables: DataFrame) -> Data
     return full.select("doc_id", "table_id", "row", "col", "row_span", "col_span", "x0", "top", "x1", "bottom", "lines", F.lit(None).cast("array<struct<level: int, text: string, marker: string>>").alias("items"))
 
 
-def flatten_pages(words: DataFrame, rulings: DataFrame, pages: DataFrame) -> DataFrame:
+def flatten_pages(words: DataFrame, rulings: DataFrame, pages: DataFrame, numbering: bool = True) -> DataFrame:
     """NUMBERED lines of the tables of positioned pages.
 
     Headings are lines outside tables that state a number; a table takes the section of the last one before it. A table that
-    goes on from the page before keeps its headers and its number.
+    goes on from the page before keeps its headers and its number. The paragraph right above a table names it. Rules of shapes that draw nothing
+    (`fill` and `stroke`, where `rulings` have them) are none.
     """
     cells, tables = page_cells(words, rulings)
     cells = stored(cells)  # each step is read several times: it is done once
@@ -178,22 +214,36 @@ def flatten_pages(words: DataFrame, rulings: DataFrame, pages: DataFrame) -> Dat
     heads = outline.accepted_headings(starts.select("doc_id", "page", "top", "text", "starts_paragraph"))
     listed = outline.headings_of(outside).select("doc_id", "path").distinct()  # entries of a table of contents use numbers up, too
     placed = outline.section_asof(tables.select("doc_id", "page", "top", "table_id", "x0", "x1", "bottom"), heads)
-    named = G.title_above(placed, outside).withColumn("title", T.table_title(F.col("title_line"), T.parse_heading(F.col("title_line")).isNotNull()))
+    is_heading = T.parse_heading(F.col("title_line")).isNotNull()
+    title = F.when(is_heading, T.table_title(F.col("title_line"), True)).otherwise(T.table_title(F.col("title_text")))
+    named = G.title_above(placed, starts).withColumn("title", F.when(F.col("title_line").isNotNull(), title).otherwise(""))
     linked = stored(named.join(goes_on, ["doc_id", "table_id"], "left").withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "top", "table_id"))))
     own = outline.table_numbers(linked.where("goes_on_from is null").select("doc_id", "table_id", "seq", "section", "title"), listed, ["seq"]).withColumn("continued", F.lit(False))
-    more = linked.where("goes_on_from is not null").select("doc_id", "table_id", "seq", F.lit("").alias("title"), F.array().cast(PATHS).alias("path"), F.lit(True).alias("continued"))
-    plan = own.select("doc_id", "table_id", "seq", "title", "path", "continued").unionByName(more)
-    return _numbered(flat, plan)
+    more = linked.where("goes_on_from is not null").select("doc_id", "table_id", "seq", F.lit("").alias("title"), "section", F.array().cast(PATHS).alias("path"), F.lit(True).alias("continued"))
+    plan = own.select("doc_id", "table_id", "seq", "title", "section", "path", "continued").unionByName(more)
+    return _numbered(flat, plan, numbering)
 
 
 # --- report -----------------------------------------------------------------------------------------------------------------
 
 
-def check_lines(source_text: DataFrame, numbered: DataFrame) -> DataFrame:
-    """The verification report of tables' texts (doc_id, text) against their NUMBERED lines."""
-    line = F.struct("table_id", "seq", "line")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")
-    return verify.report(source_text, numbered.groupBy("doc_id").agg(text.alias("text")))
+def check_lines(source_text: DataFrame, numbered: DataFrame, residual: DataFrame | None = None) -> DataFrame:
+    """The verification report of tables' texts (doc_id, text) against their NUMBERED lines; `residual` (doc_id) has a row for each table that the output still has."""
+    place = [F.length("table_id").alias("n"), "table_id", "seq", "line"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place))), lambda x: x["line"]), "\n")
+    return verify.report(source_text, numbered.groupBy("doc_id").agg(text.alias("text")), residual)
+
+
+def check_word_files(files: DataFrame, made: DataFrame) -> DataFrame:
+    """The report of whole word files (doc_id, content) against the files made of them: no word of any story lost, and no table left."""
+    return verify.report(office.word_texts(files), office.word_texts(made), office.word_tables(made))
+
+
+def residual_tables(rulings: DataFrame) -> DataFrame:
+    """doc_id, page, table_id: tables that the rules of output pages still show; for `check_lines`."""
+    ruled = G.tables_of_cells(G.ruled_cells(G.visible_rules(rulings)))
+    boxes = ruled.groupBy("doc_id", "page", "table_id").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
+    return G.large_enough(boxes).select("doc_id", "page", "table_id")
 
 
 def text_of_cells(cells: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def made_cell(doc_id, table_id, row, col, row_span, col_span, items) -> tuple:
 
 
 def _table_cells(doc_id: str, table_id: str, tbl):
-    anchors: dict[tuple[int, int], list] = {}  # (col, span): the cell that a merge goes on from
+    anchors: dict[int, list] = {}  # column: the cell that a merge goes on from, until another cell stands there
     made: list[list] = []
     for r, tr in enumerate(tbl.findall(f"{W}tr")):
         col = 0
@@ -147,15 +147,17 @@ def _table_cells(doc_id: str, table_id: str, tbl):
             span = max(1, _whole(_flag(props, "gridSpan")) or 1)
             merge = _flag(props, "vMerge")
             own = _cell_items(tc)
-            if merge in ("", "continue") and (col, span) in anchors:
-                anchors[col, span][2] += 1
-                anchors[col, span][4].extend(own)
+            goes_on = anchors.get(col) if merge in ("", "continue") else None
+            if goes_on is not None:
+                goes_on[2] = r - goes_on[0] + 1
+                goes_on[4].extend(own)
             else:
                 cell = [r, col, 1, span, own]
                 made.append(cell)
-                anchors.pop((col, span), None)
-                if merge is not None:
-                    anchors[col, span] = cell
+                for c in range(col, col + span):
+                    anchors.pop(c, None)
+                if merge == "restart":
+                    anchors[col] = cell
             col += span
     for r, c, row_span, span, items in made:
         yield made_cell(doc_id, table_id, r, c, row_span, span, items)
@@ -187,6 +189,28 @@ def _read_declared(doc_id: str, content: bytes):
                 yield doc_id, f"{story}/{k:04d}", n
 
 
+def _read_word_tables(doc_id: str, content: bytes):
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for story, root in _stories(z):
+            for k, _ in enumerate(root.iter(f"{W}tbl")):
+                yield doc_id, f"{story}/{k:04d}"
+
+
+def word_tables(docs: DataFrame) -> DataFrame:
+    """doc_id, table_id of every table of word files, those inside others too."""
+    return _each_file(docs, _read_word_tables, "doc_id string, table_id string")
+
+
+def _read_word_text(doc_id: str, content: bytes):
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        yield doc_id, "\n".join(paragraph_text(p) for _, root in _stories(z) for p in root.iter(f"{W}p"))
+
+
+def word_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text of word files: every paragraph of every story, a line each."""
+    return _each_file(docs, _read_word_text, "doc_id string, text string")
+
+
 def declared_headers(docs: DataFrame) -> DataFrame:
     """doc_id, table_id, rows: leading rows that a word table repeats on each page."""
     return _each_file(docs, _read_declared, "doc_id string, table_id string, rows int")
@@ -322,6 +346,20 @@ def merges(docs: DataFrame) -> DataFrame:
     return _each_file(docs, _read_merges, MERGES)
 
 
+def _read_print_titles(doc_id: str, content: bytes):
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        book = ET.fromstring(z.read("xl/workbook.xml"))
+    for name in book.iter(f"{S}definedName"):
+        rows = re.search(r"\$?\b(\d+):\$?(\d+)\b", name.text or "")
+        if name.get("name") == "_xlnm.Print_Titles" and name.get("localSheetId") is not None and rows:
+            yield doc_id, int(name.get("localSheetId")), int(rows[1]), int(rows[2])
+
+
+def print_titles(docs: DataFrame) -> DataFrame:
+    """doc_id, sheet_idx, first, last: rows that a sheet repeats at the top of each printed page."""
+    return _each_file(docs, _read_print_titles, "doc_id string, sheet_idx int, first int, last int")
+
+
 def _read_uncached(doc_id: str, content: bytes):
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         found = any(c.find(f"{S}f") is not None and not (c.findtext(f"{S}v") or "").strip() for _, _, root in _sheets(z) for c in root.iter(f"{S}c"))

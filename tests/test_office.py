@@ -83,13 +83,14 @@ def test_list_levels(spark):
 S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
-def book(cells, merges=""):
+def book(cells, merges="", sheets=None, names=""):
+    sheets = sheets or [("S1", cells)]
     return packed({
-        "xl/workbook.xml": f'<workbook {S}><sheets><sheet name="S1" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook {S}><sheets>{"".join(f'<sheet name="{name}" sheetId="{k}" r:id="r{k}"/>' for k, (name, _) in enumerate(sheets, 1))}</sheets>{names}</workbook>',
+        "xl/_rels/workbook.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>",
         "xl/styles.xml": f'<styleSheet {S}><numFmts><numFmt numFmtId="164" formatCode="0.0%"/><numFmt numFmtId="165" formatCode="dd/mm/yyyy hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="3"/><xf numFmtId="165"/></cellXfs></styleSheet>',
         "xl/sharedStrings.xml": f"<sst {S}><si><t>Tên</t></si><si><r><t>Tỷ </t></r><r><t>lệ</t></r></si></sst>",
-        "xl/worksheets/sheet1.xml": f"<worksheet {S}><sheetData>{cells}</sheetData><mergeCells>{merges}</mergeCells></worksheet>",
+        **{f"xl/worksheets/sheet{k}.xml": f"<worksheet {S}><sheetData>{own}</sheetData><mergeCells>{merges}</mergeCells></worksheet>" for k, (_, own) in enumerate(sheets, 1)},
     })
 
 
@@ -144,3 +145,13 @@ def test_late_events_are_dropped(spark, tmp_path):
         q.awaitTermination(120)
     got = {str(r["w"]): r["n"] for r in spark.read.parquet(str(tmp_path / "o")).selectExpr("window.start w", "n").collect()}
     assert got["2024-01-01 10:00:00"] == 1 and got["2024-01-01 16:00:00"] == 1
+
+
+def test_a_cell_of_another_span_closes_a_vertical_merge(spark):
+    first = '<w:vMerge w:val="restart"/>'
+    body = tbl([tc("a", first), tc("b")], [tc("wide", '<w:gridSpan w:val="2"/>')], [tc("late", "<w:vMerge/>"), tc("d")])
+    got = {(r["row"], r["col"]): (r["row_span"], r["col_span"], r["lines"][0]["text"]) for r in office.word_cells(docs(spark, word(body))).collect()}
+    assert got == {(0, 0): (1, 1, "a"), (0, 1): (1, 1, "b"), (1, 0): (1, 2, "wide"), (2, 0): (1, 1, "late"), (2, 1): (1, 1, "d")}
+    body = tbl([tc("a", first), tc("b")], [tc("", "<w:vMerge/>"), tc("c")], [tc("more", "<w:vMerge/>"), tc("d")])
+    got = {(r["row"], r["col"]): (r["row_span"], [x["text"] for x in r["lines"]]) for r in office.word_cells(docs(spark, word(body))).collect()}
+    assert got[0, 0] == (3, ["a", "more"]) and set(got) == {(0, 0), (0, 1), (1, 1), (2, 1)}
