@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridscribe.functions import display as D
@@ -13,26 +11,9 @@ from gridscribe.operators import geometry as G
 from gridscribe.operators import layout, outline, sheets, verify
 from gridscribe.operators.grid import flatten_tables
 from gridscribe.plans import documents
+from gridscribe.plans.registry import ORACLES, QUERIES, query, table
 from gridscribe.sources import frames, office
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def sql_label(header: str, value: str) -> str:
     """`header: value` in SQL, for headers that are plain words."""
     return f"CASE WHEN starts_with(lower({value}), lower({header})) THEN {value} ELSE {header} || ': ' || {value} END"
@@ -112,122 +93,16 @@ def rowspan_replication(spark, sf_dir):
     return flat.select("grp", F.posexplode("lines").alias("k", "line")).select("grp", (F.col("k") + 1).cast("long").alias("k"), "line")
 
 
-@query(
-    """WITH s AS (SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem GROUP BY ALL)
-    SELECT status, '- ' || string_agg('flag ' || flag || ': ' || n, '  |  ' ORDER BY flag) AS line FROM s GROUP BY status"""
-)
-def pivot_two_dimensional(spark, sf_dir):
-    """Records that are columns: one line for each, with the name of every row."""
-    counted = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"))
-    part = F.struct("l_returnflag", T.label(F.concat(F.lit("flag "), "l_returnflag"), F.col("n").cast("string")).alias("said"))
-    said = F.transform(F.array_sort(F.collect_list(part)), lambda p: p["said"])
-    return counted.groupBy(F.col("l_linestatus").alias("status")).agg(F.concat(F.lit("- "), F.array_join(said, T.SEPARATOR)).alias("line"))
-
-
-@query(
-    """SELECT conv_id, '- Conversation: ' || conv_id || '  |  Turns:' || chr(10) || string_agg('  - ' || role, chr(10) ORDER BY turn, role, text) AS line
-    FROM conversations GROUP BY conv_id"""
-)
-def multi_item_cells(spark, sf_dir):
-    """A cell of several items: a line that names its column, and the items below."""
-    item = F.struct("turn", "role", "text")
-    roles = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(F.lit("  - "), x["role"]))
-    each = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(roles, "\n").alias("items"))
-    return each.select("conv_id", F.concat(F.lit("- "), T.label(F.lit("Conversation"), F.col("conv_id").cast("string")), F.lit("  |  Turns:\n"), "items").alias("line"))
-
-
-@query(
-    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Brand' WHEN p_partkey % 5 = 0 THEN 'Type' ELSE '' END AS header
-    FROM part"""
-)
-def header_span_lookup(spark, sf_dir):
-    """The first header that says something over a value's span of columns."""
-    headers = F.array(F.lit("Column 1"), F.when(F.col("p_partkey") % 3 == 0, "Brand").otherwise(""), F.when(F.col("p_partkey") % 5 == 0, "Type").otherwise("STT"))
-    spoken = F.filter(headers, lambda h: ~T.is_fake_header(h))
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.get(spoken, F.lit(0)), F.lit("")).alias("header"))
-
-
-@query(
-    """SELECT p_brand AS table_id, CASE WHEN count(*) >= 1 THEN 1 ELSE 0 END::BIGINT AS header_rows, FALSE AS label_column FROM part GROUP BY p_brand"""
-)
-def header_band_detect(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", F.concat(F.lit("no "), F.col("p_size").cast("string")).alias("size_text"))
-    flat = flatten_tables(frames.as_cells(rows, "p_brand", ["p_partkey"], ["size_text", "p_name"], ["Size of the part", "Name"]))
-    return flat.select("table_id", F.col("header_rows").cast("long").alias("header_rows"), F.lit(False).alias("label_column"))
-
-
-@query(
-    """SELECT p_brand, count(DISTINCT lower(p_name)) = count(*) AND count(*) >= 2 AND bool_and(length(p_name) <= 60 AND regexp_matches(p_name, '[a-zA-Z]'))
-      AND avg(length(p_name)) < avg(length(p_type || p_name)) AS label_column FROM part GROUP BY p_brand"""
-)
-def label_column_detect(spark, sf_dir):
-    """Whether a column names each row: short, with a letter, different, shorter than what it names."""
-    own = F.col("p_name")
-    fits = (F.length(own) <= T.LABEL_CHARS) & own.rlike(r"\p{L}") & ~T.is_bullet(own)
-    shorter = F.avg(F.length(own)) < F.avg(F.length(F.concat("p_type", "p_name")))
-    named = (F.count_distinct(F.lower(own)) == F.count("*")) & (F.count("*") >= 2) & F.bool_and(fits) & shorter
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(named.alias("label_column"))
-
-
-@query("""SELECT r_regionkey, 'Nations of ' || r_name || ' (' || (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) || ')' AS header FROM region""")
-def two_row_header_fuse(spark, sf_dir):
-    """Header lines over two rows, joined to one label."""
-    counts = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("n"))
-    rows = table(spark, sf_dir, "region").join(counts, "r_regionkey", "left")
-    lines = F.array(F.lit("Nations of"), F.concat("r_name", F.lit(" ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(")")))
-    return rows.select("r_regionkey", T.join_wrapped(lines).alias("header"))
-
-
-@query(
-    """SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'Name, Segment' ELSE 'Key, Segment' END AS headers, (c_custkey % 50 = 0)::BIGINT AS first_row FROM customer"""
-)
-def carry_headers_restate(spark, sf_dir):
-    """A page of a continued table: its own headers if half of them repeat the carried ones, else the carried ones."""
-    found = F.when(F.col("c_custkey") % 50 == 0, F.array(F.lit("Name"), F.lit("Segment"))).otherwise(F.array("c_name", F.lit("x")))
-    carried = F.array(F.lit("Key"), F.lit("Segment"))
-    plain = lambda a: F.transform(a, lambda h: F.lower(F.regexp_replace(T.one_line(h), r"^[ :]+|[ :]+$", "")))
-    hits = F.size(F.filter(plain(found), lambda h: F.array_contains(plain(carried), h)))
-    restates = hits * 2 >= F.size(found)
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.when(restates, found).otherwise(carried), ", ").alias("headers"), restates.cast("long").alias("first_row"))
-
-
-@query(
-    """WITH r AS (SELECT s_nationkey, s_suppkey, s_suppkey % 3 = 0 AS opens FROM supplier),
-    g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS grp FROM r)
-    SELECT s_nationkey::BIGINT AS s_nationkey, grp::BIGINT AS logical_row, count(*) AS n FROM g GROUP BY ALL"""
-)
-def logical_row_ids(spark, sf_dir):
-    """Boundaries where a column splits, summed up: which logical row a grid row belongs to."""
-    rows = table(spark, sf_dir, "supplier").withColumn("opens", (F.col("s_suppkey") % 3 == 0).cast("int"))
-    grp = F.sum("opens").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(F.col("s_nationkey").cast("long").alias("s_nationkey"), grp.alias("logical_row")).groupBy("s_nationkey", "logical_row").agg(F.count("*").alias("n"))
-
-
 # --- text -------------------------------------------------------------------------------------------------------------
 
 
-@query()
-def split_inline_items(spark, sf_dir):
-    """Turns of a conversation in one paragraph, cut at their markers again."""
-    item = F.struct("turn", F.concat(F.element_at(F.split(F.lit("a b c d e f g h i j k l m n o p q r s t"), " "), (F.col("turn") % 20 + 1).cast("int")), F.lit(") "), "role").alias("said"))
-    each = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["said"]), " ").alias("run"))
-    return each.select("conv_id", F.array_join(T.split_inline_items("run"), "\n").alias("items"))
-
-
-@query("""SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS joined FROM documents WHERE NOT regexp_matches(text, '\\s[a-zà-ÿ]{1,2}[\\s.,]|\\s[a-zà-ÿ]{1,2}$')""")
-def join_wrapped_lines(spark, sf_dir):
-    """Words of a text as wrapped lines, joined; texts with words of two letters or fewer may be glued by the rule, and are left out here."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\s[a-z\x{E0}-\x{FF}]{1,2}[\s.,]|\s[a-z\x{E0}-\x{FF}]{1,2}$"))
-    return docs.select("doc_id", T.join_wrapped(F.split("text", r"\s+")).alias("joined"))
-
-
 @query(
     rf"""SELECT doc_id, array_to_string(list_transform(words, lambda w, i: CASE WHEN i = 1 THEN w
         WHEN (regexp_matches(w, '^\p{{Ll}}$') AND NOT regexp_matches(w, '[{T.ONE_LETTER}]') OR regexp_matches(w, '^\p{{Ll}}{{2}}$') AND NOT regexp_matches(w, '[{T.VOWELS}]')) AND regexp_matches(words[i - 1], '\pL$') THEN w
         ELSE ' ' || w END), '') AS joined
     FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\t-\r\x20]+'), lambda w: regexp_replace(w, '^[\t-\r\x20\x{{A0}}]+|[\t-\r\x20\x{{A0}}]+$', '', 'g')), lambda w: w <> '') AS words FROM documents)"""
 )
-def join_wrapped_lines_whole(spark, sf_dir):
+def join_wrapped_lines(spark, sf_dir):
     """Words of every text as wrapped lines, joined and glued by the rule; a null text stays null."""
     return table(spark, sf_dir, "documents").select("doc_id", T.join_wrapped(F.split("text", r"\s+")).alias("joined"))
 
@@ -271,19 +146,6 @@ def tokenize_counts(spark, sf_dir):
 _MARKS = "- x|• x|o clock|* y|+z|-z|  · w|1. a|(a) b|6.1 c|1.500.000 d|a) e|03 months|b. f|12) g|1.000 h"
 
 
-@query(
-    r"""SELECT doc_id, line, regexp_matches(line, '^\s*([-‐-―•●○▪·+*o])\s+') AS bullet,
-      regexp_matches(line, '^(?:\(\s*[0-9a-zA-Z]{1,3}\s*\)|[0-9]{1,3}(?:\.[1-9][0-9]?)+\s*[.)]?|[0-9]{1,3}\s*[.)]|[a-zA-Z]\s*[.)])(?:\s|$)') AS has_index
-    FROM (SELECT doc_id, (string_split('"""
-    + _MARKS
-    + r"""', '|'))[doc_id % 16 + 1] || ' ' || left(text, 20) AS line FROM documents)"""
-)
-def line_markers(spark, sf_dir):
-    heads = F.split(F.lit(_MARKS), r"\|")
-    line = F.concat(F.element_at(heads, (F.col("doc_id") % 16 + 1).cast("int")), F.lit(" "), F.substring("text", 1, 20))
-    return table(spark, sf_dir, "documents").select("doc_id", line.alias("line")).select("doc_id", "line", T.is_bullet(F.col("line")).alias("bullet"), T.starts_with_index(F.col("line")).alias("has_index"))
-
-
 @query(
     """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 3 THEN (p_size::VARCHAR)
       ELSE (p_partkey % 900 + 1) || '.' || (p_size % 9 + 1) END AS path FROM part"""
@@ -330,14 +192,6 @@ def header_line_distinct(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(T.header_line(roles).alias("headers"))
 
 
-@query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS kept, FALSE AS doubled FROM documents WHERE NOT regexp_matches(text, '[ \\t\\r]\\n|^\\s|\\s$')""")
-def collapse_blank_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[ \t\r]\n|^\s|\s$"))
-    tidy = T.collapse_blank(F.split(F.regexp_replace("text", "\n", "\n\n\n"), "\n"))
-    blank = F.filter(tidy, lambda x: x == "")
-    return docs.select("doc_id", (F.size(tidy) - F.size(blank)).cast("long").alias("kept"), (verify.double_blanks(F.array_join(tidy, "\n")) > 0).alias("doubled"))
-
-
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Total: ' || o_totalprice::BIGINT ELSE (o_orderkey % 7) || '  |  Total: ' || o_totalprice::BIGINT END AS line FROM orders""")
 def absorb_row_index(spark, sf_dir):
     row = F.concat((F.col("o_orderkey") % 7).cast("string"), F.lit("  |  Total: "), F.bround("o_totalprice").cast("long").cast("string"))
@@ -433,26 +287,6 @@ def divider_lookahead(spark, sf_dir):
     return outline.dividers(rows, ["ts"]).select("event_id", "is_divider")
 
 
-@query(
-    """WITH RECURSIVE w AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, len(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS n FROM conversations),
-    f AS (SELECT conv_id, k, n, 142 + 0 AS since FROM w WHERE k = 1 UNION ALL
-      SELECT w.conv_id, w.k, w.n, CASE WHEN f.since >= 142 THEN 0 ELSE f.since END + f.n FROM f JOIN w ON w.conv_id = f.conv_id AND w.k = f.k + 1)
-    SELECT conv_id, k::BIGINT AS k, since >= 142 AS repeats FROM f"""
-)
-def context_repeat_distance(spark, sf_dir):
-    """Before which nested lines a record's name is said again: a sum of words that starts over where it is."""
-    c = table(spark, sf_dir, "conversations").withColumn("n", F.size(T.tokens("text")))
-    each = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "n"))), lambda x: x["n"]).alias("ns"))
-    start = F.struct(F.lit(outline.REPEAT_WORDS).alias("since"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc, n):
-        again = acc["since"] >= outline.REPEAT_WORDS
-        return F.struct((F.when(again, 0).otherwise(acc["since"]) + n).alias("since"), F.array_append(acc["out"], again).alias("out"))
-
-    folded = each.select("conv_id", F.posexplode(F.aggregate("ns", start, step, lambda acc: acc["out"])).alias("k", "repeats"))
-    return folded.select("conv_id", (F.col("k") + 1).cast("long").alias("k"), "repeats")
-
-
 # --- geometry --------------------------------------------------------------------------------------------------------------
 
 
@@ -518,15 +352,6 @@ def words_outside_tables(spark, sf_dir):
     return G.words_outside(words, cells).select("word_id")
 
 
-@query()
-def nested_suppression_greedy(spark, sf_dir):
-    """Boxes made of parts: which lie in a larger one that is kept."""
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    boxes = p.select(F.col("p_brand").alias("doc_id"), F.lit(1).alias("page"), k.cast("string").alias("table_id"), (k % 37 * 5).cast("double").alias("x0"), (k % 23 * 7).cast("double").alias("top"), (k % 37 * 5 + F.col("p_size") * 3).cast("double").alias("x1"), (k % 23 * 7 + F.col("p_size") * 2).cast("double").alias("bottom"))
-    return G.outermost(boxes)
-
-
 @query(
     """WITH t AS (SELECT o_custkey AS doc, o_orderkey % 40 AS page, o_orderkey AS id, o_orderkey % 9 AS x, (o_orderkey // 40) % 10 AS y FROM orders),
     a AS (SELECT doc, page, arg_max(id, (y * 70 + 100, id)) AS id FROM t GROUP BY ALL), b AS (SELECT doc, page, arg_min(id, (y * 70, id)) AS id FROM t GROUP BY ALL)
@@ -554,14 +379,6 @@ def borderless_gutters(spark, sf_dir):
     return G.gutters(p).select(F.col("doc_id").alias("p_brand"), "x0", "x1")
 
 
-@query()
-def line_grouping(spark, sf_dir):
-    """Words of a page as lines: tops near the first of the line."""
-    n = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.lit(1).alias("page"), F.col("p_partkey").cast("int").alias("word_id"), F.col("p_name").alias("text"), (F.col("p_partkey") % 50 * 12).cast("double").alias("x0"), (F.col("p_partkey") % 50 * 12 + 10).cast("double").alias("x1"), (F.floor("p_retailprice") % 97).cast("double").alias("top"))
-    words = n.withColumn("bottom", F.col("top") + 9).withColumn("size", F.lit(9.0))
-    return G.group_lines(words, ["doc_id", "page"]).select("doc_id", "line_no", "text")
-
-
 @query("""SELECT s_suppkey, s_suppkey % 5 IN (0, 2) AS nothing FROM supplier""")
 def invisible_shapes(spark, sf_dir):
     k = F.col("s_suppkey") % 5
@@ -588,34 +405,11 @@ def ruled_table_cells(spark, sf_dir):
     return found.select("doc_id", cell.cast("long").alias("cell"), "x0", "top", "x1", "bottom")
 
 
-@query(
-    """SELECT n_nationkey::VARCHAR AS doc_id, k::BIGINT AS k, '1.' || k || ' Supplier name: ' || s_name || '  |  Code of it: p' || s_suppkey AS line
-    FROM (SELECT s_nationkey AS n_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) WHERE k <= 30"""
-)
-def flatten_positioned_pages(spark, sf_dir):
-    """Words and rules of pages to numbered lines: detection, words to cells, lines, grid, outline. A page holds thirty rows."""
-    order = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).cast("int")
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("doc_id"), order.alias("row"), "s_name", F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("code")).where("row <= 30")
-    size = rows.groupBy("doc_id").agg((F.max("row") + 1).cast("int").alias("n"))
-    heads = size.select("doc_id", F.lit(0).alias("row"), F.lit("Supplier name").alias("s_name"), F.lit("Code of it").alias("code"))
-    cells = heads.unionByName(rows).select("doc_id", "row", F.posexplode(F.array("s_name", "code")).alias("col", "text"))
-    each = cells.select("doc_id", "row", "col", F.posexplode(F.split("text", " ")).alias("k", "text"))
-    x, top = 55.0 + 200 * F.col("col") + 60 * F.col("k"), 45.0 + 20 * F.col("row")
-    words = each.select("doc_id", F.lit(1).alias("page"), (F.col("row") * 100 + F.col("col") * 10 + F.col("k")).cast("int").alias("word_id"), "text", x.alias("x0"), (x + F.least(F.lit(50.0), 5.0 * F.length("text"))).alias("x1"), top.alias("top"), (top + 9).alias("bottom"), F.lit(9.0).alias("size"))
-    across = size.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n")))).select("doc_id", (40.0 + 20 * F.col("k")).alias("y"), "n")
-    h = across.select("doc_id", F.lit(1).alias("page"), F.lit(50.0).alias("x0"), F.col("y").alias("top"), F.lit(450.0).alias("x1"), F.col("y").alias("bottom"))
-    v = size.withColumn("x", F.explode(F.array(F.lit(50.0), F.lit(250.0), F.lit(450.0)))).select("doc_id", F.lit(1).alias("page"), F.col("x").alias("x0"), F.lit(40.0).alias("top"), F.col("x").alias("x1"), (40.0 + 20 * F.col("n")).alias("bottom"))
-    pages = size.select("doc_id", F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("rotation"))
-    numbered = documents.flatten_pages(words, h.unionByName(v), pages).where("line <> ''")
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
-    return numbered.select("doc_id", k.cast("long").alias("k"), "line")
-
-
 @query(
     """SELECT n_nationkey::VARCHAR AS doc_id, k::BIGINT AS k, CASE WHEN k > 30 THEN '  ' ELSE '' END || '1.' || k || ' Supplier name: ' || s_name || '  |  Code of it: p' || s_suppkey AS line
     FROM (SELECT s_nationkey AS n_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)"""
 )
-def flatten_positioned_pages_whole(spark, sf_dir):
+def flatten_positioned_pages(spark, sf_dir):
     """Every supplier of a nation on pages of thirty rows: one table that goes on over the page breaks, with its header on the first page alone."""
     order = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).cast("int")
     rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("doc_id"), order.alias("k"), "s_name", F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("code"))
@@ -691,12 +485,6 @@ def display_date(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", D.timestamp_text(F.col("o_orderdate")).alias("shown"))
 
 
-@query("""SELECT event_id, upper((value > 50)::VARCHAR) AS shown, strftime(ts, '%d/%m/%Y %H:%M') AS at FROM events WHERE date_trunc('day', ts) <> ts""")
-def display_bool(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(F.date_trunc("day", "ts") != F.col("ts"))
-    return e.select("event_id", D.bool_text(F.col("value") > 50).alias("shown"), D.timestamp_text(F.col("ts")).alias("at"))
-
-
 # --- verification -----------------------------------------------------------------------------------------------------------
 
 
@@ -759,16 +547,6 @@ def verify_run_summary(spark, sf_dir):
     return verify.summary(found, flat).select("doc_id", F.col("tables_flattened").cast("long").alias("tables_flattened"), "lines_written", "status")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '- Name: ' || p_name || chr(10) || '- ' || p_brand ELSE '- Name: ' || p_name || '  |  Maker: ' || p_brand END AS lines FROM part""")
-def completeness_guard(spark, sf_dir):
-    """Rows that lost a value get it back as a line of its own."""
-    p = table(spark, sf_dir, "part")
-    line = F.concat(F.lit("- "), T.label(F.lit("Name"), F.col("p_name")), F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("  |  "), T.label(F.lit("Maker"), F.col("p_brand")))))
-    missing = F.array_except(T.tokens("p_brand"), T.tokens(line))
-    lost = F.size(F.filter(missing, lambda t: ~F.contains(T.token_stream(line), t))) > 0
-    return p.select("p_partkey", F.concat(line, F.when(lost, F.concat(F.lit("\n- "), "p_brand")).otherwise("")).alias("lines"))
-
-
 # --- layout, names ---------------------------------------------------------------------------------------------------------
 
 
@@ -813,3 +591,6 @@ def name_dedup(spark, sf_dir):
 def format_dispatch(spark, sf_dir):
     k = F.col("page_id") % 4
     return table(spark, sf_dir, "pages").select("page_id", office.route(F.concat(F.lit("a/b"), F.when(k == 0, ".XLSM").when(k == 1, ".docx").when(k == 2, ".pdf").otherwise(".txt"))).alias("reader"))
+
+
+from gridscribe.plans import files, grids, rules  # noqa: E402, F401  the other queries

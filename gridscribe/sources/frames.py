@@ -39,4 +39,22 @@ def as_cells(df: DataFrame, key: str, order: list[str], columns: list[str], head
     )
 
 
-__all__ = ["INDENT", "as_cells", "as_lines"]
+def placed_cells(cells: DataFrame, gap: float = 12.0) -> DataFrame:
+    """CELLS of `cells` (table_id, row, col, text and, where they span, row_span and col_span): a line of a cell for each line of its text.
+
+    Cells stand `gap` apart; with none, their boxes touch and a line that fills its cell reaches its right edge.
+    """
+    span = lambda name: F.col(name).cast("int") if name in cells.columns else F.lit(1)
+    x0, top = F.col("col") * 120.0, F.col("row") * 52.0
+    x1, bottom = x0 + F.col("col_span") * 120.0 - gap, top + F.col("row_span") * 52.0 - gap
+    texts = F.filter(F.split(F.col("text"), "\n"), lambda t: F.trim(t) != "")
+    end = (x0 + 1) if gap else x1
+    line = lambda t, k: F.struct(t.alias("text"), x0.alias("x0"), end.alias("x1"), (top + 10.0 * k).alias("top"), (top + 10.0 * (k + 1)).alias("bottom"))
+    sized = cells.select("table_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), span("row_span").alias("row_span"), span("col_span").alias("col_span"), "text")
+    return sized.select(
+        F.lit("frame").alias("doc_id"), F.col("table_id").cast("string").alias("table_id"), "row", "col", "row_span", "col_span", x0.alias("x0"), top.alias("top"), x1.alias("x1"), bottom.alias("bottom"),
+        F.transform(texts, line).alias("lines"), F.lit(None).cast("array<struct<level: int, text: string, marker: string>>").alias("items"),
+    )
+
+
+__all__ = ["INDENT", "as_cells", "as_lines", "placed_cells"]

@@ -31,9 +31,12 @@ def route(path: Column) -> Column:
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """path, doc_id, content of a folder's supported files; not of folders in it, nor of an editor's lock files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    fits = F.lower(name).rlike(rf"\.({'|'.join(SUFFIXES)})$") & ~name.startswith("~$")
-    return found.withColumn("doc_id", name).where(fits).select("path", "doc_id", "content")
+    return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1)).where(is_supported(F.col("path"))).select("path", "doc_id", "content")
+
+
+def is_supported(path: Column) -> Column:
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.lower(name).rlike(rf"\.({'|'.join(SUFFIXES)})$") & ~name.startswith("~$")
 
 
 def output_name(path: Column) -> Column:

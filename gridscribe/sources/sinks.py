@@ -94,6 +94,24 @@ def flattened_word_files(files: DataFrame, numbered: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").join(tables, "doc_id", "left").mapInPandas(rewrite, "doc_id string, content binary")
 
 
+def packed_files(documents: DataFrame) -> DataFrame:
+    """doc_id, content of `documents` (doc_id, parts map<string, string>): each part a file of a zipped package, in the order of their names."""
+    ship_code(documents.sparkSession)
+
+    def pack(parts) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in sorted(dict(parts).items()):
+                z.writestr(zipfile.ZipInfo(name), text)
+        return out.getvalue()
+
+    def make(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "content": [pack(x) for x in b["parts"]]})
+
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "parts").mapInPandas(make, "doc_id string, content binary")
+
+
 def word_files(documents: DataFrame) -> DataFrame:
     """doc_id, content of `documents` (doc_id, lines array<string>)."""
     ship_code(documents.sparkSession)

@@ -1,4 +1,4 @@
-"""Queries named _whole run over every row, and over all of it; those of the same name without it leave rows out, as their SQL does."""
+"""Queries over tables made here, with cases that the test tables do not have."""
 
 import re
 import unicodedata
@@ -31,7 +31,7 @@ def test_join_wrapped_lines(spark, tmp_path):
         return out
 
     texts = ["Thành phố Hồ Chí Min h 1 t a", "a b\tc\n\nd", "  nh ng 5 h x. h é h", "Văn bả n\u00a0 \u00a0 số g", "de la casa of", "", " ", "x" * 9 + " ng" * 5000, None]
-    got = dict(both(spark, tmp_path, "join_wrapped_lines_whole", {"documents": spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")}))
+    got = dict(both(spark, tmp_path, "join_wrapped_lines", {"documents": spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")}))
     assert got == {k: None if t is None else fold(t) for k, t in enumerate(texts)}
     assert got[0] == "Thành phố Hồ Chí Minh 1 t a"
 
@@ -39,5 +39,5 @@ def test_join_wrapped_lines(spark, tmp_path):
 def test_flatten_positioned_pages(spark, tmp_path):
     """Three pages, a last page of one row, and a full page."""
     rows = [(k, f"Firm {k}", nation) for nation, n in ((0, 70), (1, 31), (2, 30)) for k in range(nation * 100, nation * 100 + n)]
-    got = both(spark, tmp_path, "flatten_positioned_pages_whole", {"supplier": spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey long")})
+    got = both(spark, tmp_path, "flatten_positioned_pages", {"supplier": spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey long")})
     assert len(got) == 131
