@@ -38,8 +38,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == mark:
             break
         mark = now
-    roots = ends.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return ends.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    own = lambda node: F.struct(F.col(node).alias("node"), F.col("v").alias("component"))
+    return ends.select(F.explode(F.array(own("u"), own("v"))).alias("x")).select("x.*").distinct()
 
 
 def _mark(ends: DataFrame) -> tuple:
