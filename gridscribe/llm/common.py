@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridscribe.session import forget, shared_folder, ship_code, stored
 
-__all__ = ["Words", "as_long", "durable", "forget", "mix", "prepare", "shared_folder", "slices", "stored", "table", "word_count"]
+__all__ = ["Words", "as_long", "durable", "forget", "mix", "prepare", "shared_folder", "shielded", "slices", "stored", "table", "word_count"]
 
 #: Characters that part words: blank, tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
@@ -31,6 +32,18 @@ def prepare(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def shielded(operator):
+    """For operators that return the columns of their first argument: input columns that begin with two underscores are set aside under other names meanwhile, as operators use such names themselves."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        other = {c: f"kept{k}{c}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+        made = operator(docs.withColumnsRenamed(other), *args, **options) if other else operator(docs, *args, **options)
+        return made.withColumnsRenamed({new: old for old, new in other.items()}) if other else made
+
+    return run
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint; Spark removes it when nothing refers to it any more."""
     shared_folder(df.sparkSession)

@@ -59,6 +59,8 @@ def bands_for(item: int, segment: int, threshold: float, recall: float, hashes:
     for rows in range(8, 1, -1):
         if 1 - (1 - similarity**rows) ** (hashes // rows) >= recall:
             return hashes // rows, rows
+    if 1 - (1 - similarity) ** hashes < recall:  # segments are a few times as long as items, so that this does not happen
+        raise ValueError(f"{hashes} hashes do not find an item of {item} shingles among {segment} with a chance of {recall}")
     return hashes, 1
 
 
@@ -239,6 +241,7 @@ def _search(docs: DataFrame, items: DataFrame, n: int, threshold: float, recall:
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, a row a pair; nulls, repeated rows and empty tables as in `find_items`."""
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

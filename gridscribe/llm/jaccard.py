@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import build_sieve
-from .common import Words, _odd, mix, prepare, slices, stored, table
+from .common import Words, _odd, mix, prepare, shielded, slices, stored, table
 from .components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -127,6 +127,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD
     )
 
 
+@shielded
 def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """`docs` with one row of each class of `jaccard_join`: its least doc_id, then least text hash. Columns stay.
 

@@ -104,4 +104,5 @@ def decode_images(images: DataFrame, column: str = "media") -> DataFrame:
 
 
 def op6_webp(spark, sf_dir: str) -> DataFrame:
+    """Every text of documents, stored and read back; nulls, repeated rows and empty tables as in `store_texts`."""
     return store_texts(table(spark, sf_dir, "documents")).drop("media")

@@ -6,8 +6,8 @@ taken. A target is met by complete epochs first; what is left of it is filled by
 sizes in key order.
 
 The running sum never brings a source into one task. Keys fall into fine bands of equal ratio; band
-sizes are summed with map-side combining, bands are few (some thousands per source, whatever the number of rows), and
-only the band in which the budget ends is sorted row by row.
+sizes are summed with map-side combining, bands are few (some thousands per source, whatever the number of rows). The band in
+which the budget ends is parted into as many again, and only the part in which it ends is sorted row by row: one row in a million or so.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table, word_count
+from .common import durable, shielded, table, word_count
 
 #: Bands for each doubling of a key.
 BANDS = 256
+#: Parts of the band in which a budget ends.
+PARTS = 4096
 #: Rows of per-source targets that may be broadcast; beyond it Spark shuffles.
 BROADCAST_SOURCES = 100_000
 
@@ -51,6 +53,7 @@ def water_fill(sizes: dict, weights: dict, total: float, most: float) -> dict:
     return out
 
 
+@shielded
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """`docs` (doc_id, text, source and others) with the words that the mix takes of each row.
 
@@ -64,32 +67,31 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     of the budget evenly. An empty table gives no rows. Every row stays, in its own task: only keys and sizes
     are shuffled, and the ends of the budgets, one row a source, come back to the rows.
     """
-    added = ("__id", "__size", "__band", "__key", "__hash")
+    added = ("__id", "__size", "__band", "__sub", "__key", "__hash")
     keyed = docs.withColumns(dict(zip(added, _keys(seed), strict=True)))
     narrow = durable(keyed.select("source", *added))
     targets = _targets(narrow, weights, share, most)
 
-    banded = narrow.groupBy("source", "__band").agg(F.sum("__size").alias("band_size"))
-    run = Window.partitionBy("source").orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("band_size").over(run), F.lit(0))
-    bands = banded.select(_of("source"), "__band", "band_size", before.alias("before")).join(targets.select("of", "rest"), "of")
-    cut = durable(bands.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("band_size") >= F.col("rest"))).select("of", F.col("__band").alias("cut_band"), "before", "rest"))
-
-    # In the band where the budget ends: the first key at which the running sum reaches it.
     order = ["__key", "__id", "__hash"]
-    inside = narrow.select(_of("source"), "__band", "__size", *order).join(cut, "of").where(F.col("__band") == F.col("cut_band"))
+    cut = targets.select("of", F.lit(0).cast("long").alias("before"), "rest")
+    inside = narrow.select(_of("source"), "__band", "__sub", "__size", *order)
+    for level in ("__band", "__sub"):
+        # Only rows of the band, or part of it, where the budget ends are looked at further.
+        cut = durable(_cut(inside, level, cut))
+        inside = inside.drop("before", "rest").join(cut, ["of", level])
+
+    # There, the first key at which the running sum reaches the budget.
     alike = inside.groupBy("of", "before", "rest", *order).agg(F.sum("__size").alias("sum"), F.count("*").alias("rows"))
     so_far = F.col("before") + F.coalesce(F.sum("sum").over(Window.partitionBy("of").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = alike.withColumn("so_far", so_far).where((F.col("so_far") < F.col("rest")) & (F.col("so_far") + F.col("sum") >= F.col("rest")))
     end = F.struct(F.struct("__key", "__id", "__hash").alias("at"), F.floor((F.col("rest") - F.col("so_far")) / F.col("rows")).alias("part")).alias("__end")
-    plan = targets.join(cut.select("of", "cut_band"), "of", "left").join(ends.select("of", end), "of", "left")
-    plan = plan.select(F.col("of").alias("__of"), F.col("cut_band").alias("__cut"), "__end", *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "epochs")))
+    plan = targets.join(ends.select("of", end), "of", "left")
+    plan = plan.select(F.col("of").alias("__of"), "__end", *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "epochs")))
     plan = F.broadcast(plan) if targets.count() <= BROADCAST_SOURCES else plan
 
     here = F.struct("__key", "__id", "__hash")
     part = (
-        F.when(F.col("__cut").isNull(), 0)  # nothing is left over to fill
-        .when(F.col("__band") != F.col("__cut"), F.when(F.col("__band") < F.col("__cut"), F.col("__size")).otherwise(0))
+        F.when(F.col("__end").isNull(), 0)  # nothing is left over to fill
         .when(here < F.col("__end.at"), F.col("__size"))
         .when(here == F.col("__end.at"), F.col("__end.part"))
         .otherwise(0)
@@ -105,15 +107,24 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     return rows.select(*(c for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
 
 
+def _cut(rows: DataFrame, level: str, budget: DataFrame) -> DataFrame:
+    """of, level, before, rest: where the running sum of sizes over `level`, from `before` on, reaches `rest`; none if nothing is asked for."""
+    sums = rows.groupBy("of", level).agg(F.sum("__size").alias("part_size"))
+    run = Window.partitionBy("of").orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    summed = sums.withColumn("so_far", F.coalesce(F.sum("part_size").over(run), F.lit(0))).join(budget.select("of", "before", "rest"), "of").withColumn("before", F.col("before") + F.col("so_far"))
+    return summed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("part_size") >= F.col("rest"))).select("of", level, "before", "rest")
+
+
 def _of(source: str) -> Column:
     return F.struct(F.col(source).alias("source")).alias("of")  # a struct is never null, so null sources join
 
 
 def _keys(seed: int) -> tuple[Column, ...]:
-    """id (null as the largest), size, band, key and text hash of a row."""
+    """id (null as the largest), size, band, part of the band, key and text hash of a row; band and part grow with the key."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 12).cast("double") + 0.5) / float(1 << 52)
     key = -F.log(uniform) / quality_weight(F.col("text"))
-    return F.coalesce("doc_id", F.lit((1 << 63) - 1)), word_count(F.col("text")), F.floor(F.log2(key) * BANDS), key, F.xxhash64("text")
+    place = F.log2(key) * BANDS
+    return F.coalesce("doc_id", F.lit((1 << 63) - 1)), word_count(F.col("text")), F.floor(place), F.floor((place - F.floor(place)) * PARTS), key, F.xxhash64("text")
 
 
 def _targets(narrow: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -135,5 +146,6 @@ def _targets(narrow: DataFrame, weights: Sequence[float], share: float, most: fl
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row of documents; nulls, ties, repeated rows and empty tables as in `mix_sources`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")

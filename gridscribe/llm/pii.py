@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import shielded, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the four kinds. Possessive loops and look-behinds keep matching linear in the text and do not change what matches:
@@ -240,6 +240,7 @@ def row_id() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
 
 
+@shielded
 def sanitise(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """`docs` with each entity replaced by its kind in brackets, generalised terms by a more general one in brackets ([TERM] where there is none), removed terms by nothing.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, prepare, stored, table
+from .common import durable, mix, prepare, shielded, stored, table
 
 #: Largest cascade that one broadcast may hold.
 MAX_BYTES = 64 << 20
@@ -171,6 +171,7 @@ def cascade_bytes(inside: int, outside: int) -> float:
     return (inside * max(1, round(-math.log2(p))) + 4 * (inside + p * outside)) / math.log(2) / 8 + 1600
 
 
+@shielded
 def mark_listed(rows: DataFrame, key: str, listed: DataFrame, out: str = "listed", max_bytes: int = MAX_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """`rows` with a boolean column `out`: whether the row's key stands in `listed`, a table whose first column has the listed keys.
 

@@ -34,7 +34,7 @@ def docs(spark, rows):
 
 def with_clashing_columns(df):
     """Names that operators use themselves."""
-    names = ["name", "id", "twin", "score", "target", "size", "taken", "key", "band", "label", "spans", "terms", "term", "start", "end", "value", "kind", "component", "root", "lang_pred", "source_size", "epochs", "anchor", "class_id", "n_links", "item_id", "width", "host"]
+    names = ["name", "id", "twin", "score", "target", "size", "taken", "key", "band", "label", "spans", "terms", "term", "start", "end", "value", "kind", "component", "root", "lang_pred", "source_size", "epochs", "anchor", "class_id", "n_links", "item_id", "width", "host", "__id", "__hash", "__size", "__part", "__mark", "__of", "__terms", "__h1"]
     from pyspark.sql import functions as F
 
     return df.select("*", *(F.lit(f"x-{n}").alias(n) for n in names))

@@ -52,3 +52,36 @@ def test_fraction_follows_quality(spark):
 
 def test_empty(spark):
     assert mix_sources(docs(spark, [])).count() == 0
+
+
+def test_takes_what_a_plain_sort_and_running_sum_take(spark):
+    """Epochs first, then the smallest keys; the document at which the budget ends gives its first words."""
+    from pyspark.sql import functions as F
+
+    from gridscribe.llm.mixing import _keys, mix_sources
+
+    rows = [(k, prose(k, 1 + k * 7 % 50), "en", "abc"[k % 3] if k % 10 else None, 0) for k in range(400)] + [(1000, "w " * 30_000, "en", "a", 0)] + odd_rows()
+    df = docs(spark, rows)
+    keys = df.withColumns(dict(zip(("id", "n", "band", "sub", "key", "hash"), _keys(17)))).collect()
+    assert all(a["band"] < b["band"] or (a["band"] == b["band"] and a["sub"] <= b["sub"]) for a, b in zip(sorted(keys, key=lambda r: r["key"]), sorted(keys, key=lambda r: r["key"])[1:]))
+    got = mix_sources(df.withColumns({"__id": F.lit("mine"), "__of": F.lit(3)}))
+    assert got.columns[:7] == ["doc_id", "text", "lang", "source", "n_chars", "__id", "__of"] and got.where("__id = 'mine' and __of = 3").count() == len(rows)
+    taken = {}
+    for r in got.collect():
+        taken.setdefault((r["doc_id"], r["text"], r["source"]), []).append(r["taken"])
+    target = {r["source"]: r["target"] for r in got.collect()}
+    for source in target:
+        own = sorted((r for r in keys if r["source"] == source), key=lambda r: (r["key"], r["id"], r["hash"]))
+        size = sum(r["n"] for r in own)
+        words = round(target[source])
+        epochs = min(int(words // size), 2) if size else 0
+        left = words - epochs * size
+        groups = {}
+        for r in own:
+            groups.setdefault((r["key"], r["id"], r["hash"]), []).append(r)
+        for alike in groups.values():
+            whole = sum(r["n"] for r in alike)
+            each = [r["n"] if left >= whole else max(0, left) // len(alike) for r in alike]
+            for r, part in zip(alike, each):
+                assert taken[r["doc_id"], r["text"], r["source"]][0] == epochs * r["n"] + part
+            left -= whole
