@@ -155,3 +155,22 @@ def test_a_cell_of_another_span_closes_a_vertical_merge(spark):
     body = tbl([tc("a", first), tc("b")], [tc("", "<w:vMerge/>"), tc("c")], [tc("more", "<w:vMerge/>"), tc("d")])
     got = {(r["row"], r["col"]): (r["row_span"], [x["text"] for x in r["lines"]]) for r in office.word_cells(docs(spark, word(body))).collect()}
     assert got[0, 0] == (3, ["a", "more"]) and set(got) == {(0, 0), (0, 1), (1, 1), (2, 1)}
+
+
+def test_pages_in_different_batches_are_numbered_as_one_document(spark, tmp_path):
+    from gridscribe.operators import outline
+
+    kind = "doc_id string, table_id string, seq int, lines array<string>, path array<int>, title string, headers array<string>, continued boolean"
+    pages = [
+        [("d", "t1", 1, ["- Tên: a", "- Tên: b"], [1], "Danh sách", ["Tên"], False), ("e", "u1", 1, ["- Tên: x"], [2], "", ["Tên"], False)],
+        [("d", "t2", 2, ["- Tên: c"], [], "", ["Tên"], True)],
+        [("e", "u2", 2, ["- Tên: y"], [], "", ["Tên"], True), ("d", "t3", 3, ["- Tên: e"], [3], "", ["Tên"], False)],
+    ]
+    for k, rows in enumerate(pages):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        source = spark.readStream.schema(kind).parquet(str(tmp_path / "e"))
+        q = stream.number_stream(source).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = sorted(map(str, spark.read.parquet(str(tmp_path / "o")).select("doc_id", "table_id", "seq", "line").collect()))
+    whole = outline.number_documents(spark.createDataFrame([r for rows in pages for r in rows], kind)).select("doc_id", "table_id", "seq", "line")
+    assert got == sorted(map(str, whole.collect())) and len(got) == 11
