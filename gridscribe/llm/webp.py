@@ -3,7 +3,7 @@
 The decoder reads prefix codes, back-references, the colour cache and meta prefix codes, and inverts the predictor,
 cross-colour, subtract-green and palette transforms. Pixels are 32-bit integers, alpha in the highest byte, then red, green and blue.
 
-Images whose only coded channel is green, without back-references or a cache, are decoded many at a time:
+The encoder writes palettes, predictions and back-references where they save bits. Images whose only coded channel is green, without back-references or a cache, are decoded many at a time:
 each step reads one symbol of every image, so the work per symbol is a few array operations shared by all.
 """
 
@@ -338,8 +338,24 @@ def _predicted(mode: int, left: list, top: list, corner: list, right: list) -> l
     return out
 
 
+def _undo_one_mode(image: np.ndarray, mode: int) -> np.ndarray:
+    """The predictor undone where all blocks say left (1) or above (2): running sums."""
+    c = channels(image)
+    c[0, 0, 0] += 255  # the first pixel's prediction is black
+    c[0] = np.cumsum(c[0], axis=0)
+    if mode == 2:
+        c = np.cumsum(c, axis=0)
+    else:
+        c[:, 0] = np.cumsum(c[:, 0], axis=0)
+        c[1:] = np.cumsum(c[1:], axis=1)
+    return pixels(c & 255)
+
+
 def undo_predictor(image: np.ndarray, block: int, modes: np.ndarray) -> np.ndarray:
     height, width = image.shape
+    only = np.unique((modes >> np.uint32(8)) & np.uint32(15))
+    if len(only) == 1 and only[0] in (1, 2):
+        return _undo_one_mode(image, int(only[0]))
     rest, done = channels(image).tolist(), []
     which = ((modes >> np.uint32(8)) & np.uint32(15)).tolist()
     black = [255, 0, 0, 0]
@@ -593,10 +609,65 @@ def _put_fixed(out: BitWriter, symbol: int) -> None:
     put_code(out, only)
 
 
+#: Share of pixels that back-references must cover, and of bits that a prediction must save, before they are used; pixels that a copy has at least.
+COVERED, SAVES, COPY = 0.85, 0.1, 8
+
+
+def residuals(samples: np.ndarray, mode: int) -> np.ndarray:
+    """Samples (height, width) less their prediction: the first row's from the left, the first column's from above, others by mode 1 (left) or 2 (above)."""
+    out = samples.astype(np.int16)
+    if mode == 2:
+        out[1:] -= samples[:-1]
+    else:
+        out[:, 1:] -= samples[:, :-1]
+        out[1:, 0] -= samples[:-1, 0]
+    if mode == 2:
+        out[0, 1:] -= samples[0, :-1]
+    return (out & 255).astype(np.uint8)
+
+
+def _bits(values: np.ndarray) -> float:
+    """What an ideal code would take for the values."""
+    n = np.bincount(values.ravel(), minlength=256)
+    n = n[n > 0]
+    return float((n * np.log2(values.size / n)).sum())
+
+
+def _smooth(samples: np.ndarray) -> bool:
+    """Whether neighbours, in a row or in a column, are nearer to one another than samples are to their mean: else no prediction pays."""
+    flat = samples.astype(np.int16)
+    spread = np.abs(flat - int(flat.mean())).sum(dtype=np.int64)
+    return any(np.abs(flat[a] - flat[b]).sum(dtype=np.int64) < 0.7 * spread for a, b in ((np.s_[:, 1:], np.s_[:, :-1]), (np.s_[1:], np.s_[:-1])) if flat[a].size * 2 > flat.size)
+
+
+def _copies(coded: np.ndarray, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of distance 1 and one row, the one that repeats more: the distance, and begins and ends of the runs that it copies; none where too little repeats."""
+    best = (0, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for distance in {1, width}:
+        equal = coded[distance:] == coded[:-distance]
+        if np.count_nonzero(equal) < COVERED * len(coded):
+            continue
+        same = np.r_[False, equal, False].astype(np.int8)
+        begins, ends = np.flatnonzero(np.diff(same) == 1) + distance, np.flatnonzero(np.diff(same) == -1) + distance
+        keep = ends - begins >= COPY
+        if (ends - begins)[keep].sum() > (best[2] - best[1]).sum():
+            best = (distance, begins[keep], ends[keep])
+    return best
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """Prefix symbol, extra value and extra bits of a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    high = (value - 1).bit_length() - 1
+    return 2 * high + ((value - 1) >> (high - 1) & 1), (value - 1) & ((1 << (high - 1)) - 1), high - 1
+
+
 def encode_samples(samples: np.ndarray, longest: int = 14) -> bytes:
     """Bit stream of an image (height, width) of eight-bit samples: they are its green channel, alpha is 255.
 
-    Up to 16 different samples go through a palette that packs two, four or eight of them in a pixel.
+    Up to 16 different samples go through a palette that packs two, four or eight of them in a pixel. More are predicted from the left or from above
+    where that saves bits. What mostly repeats the pixel or the row before it is written as back-references.
     """
     height, width = samples.shape
     out = BitWriter()
@@ -604,8 +675,7 @@ def encode_samples(samples: np.ndarray, longest: int = 14) -> bytes:
     out.put(width - 1, 14)
     out.put(height - 1, 14)
     out.put(0, 4)
-    counts = np.bincount(samples.ravel(), minlength=256)
-    colours = np.flatnonzero(counts)
+    colours, alpha, coded_width = np.flatnonzero(np.bincount(samples.ravel(), minlength=256)), 255, width
     if len(colours) <= 16:
         packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
         out.put(1, 1)
@@ -616,20 +686,50 @@ def encode_samples(samples: np.ndarray, longest: int = 14) -> bytes:
         rank = np.zeros(256, np.int64)
         rank[colours] = np.arange(len(colours))
         each, group = 8 >> packed, 1 << packed
-        wide = np.zeros((height, _blocks(width, packed) * group), np.int64)
+        coded_width = _blocks(width, packed)
+        wide = np.zeros((height, coded_width * group), np.int64)
         wide[:, :width] = rank[samples]
         wide = wide.reshape(height, -1, group) << (np.arange(group) * each)
         coded = wide.sum(axis=2).ravel()
-        counts = np.bincount(coded, minlength=256)
     else:
-        coded = samples.ravel()
+        made = {mode: residuals(samples, mode) for mode in (1, 2)} if _smooth(samples) else {}
+        mode = min(made, key=lambda m: _bits(made[m]), default=0)
+        if mode and _bits(made[mode]) < (1 - SAVES) * _bits(samples):
+            out.put(1, 1)
+            out.put(PREDICTOR, 2)
+            out.put(7, 3)  # blocks of 512 pixels: one
+            out.put(0, 1)  # of the modes, one for each block: no cache, and each code has one symbol
+            for symbol in (mode, 0, 0, 255, 0):
+                _put_fixed(out, symbol)
+            samples, alpha = made[mode], 0  # all of alpha is predicted
+        coded = samples.ravel().astype(np.int64)
     out.put(0, 3)  # no more transforms, no cache, no meta codes
-    lengths = np.zeros(256 + LENGTHS, np.int64)
-    lengths[:256] = limited_lengths(counts, longest)
+    distance, begins, ends = _copies(coded, coded_width)
+    copied = (ends - begins).sum() >= COVERED * len(coded)
+    counts = np.bincount(coded, minlength=256 + LENGTHS)
+    tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
+    if copied:
+        at = 0
+        for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+            tokens += [(v, 0, 0) for v in coded[at:begin].tolist()]
+            for k in range(begin, end, 4096):
+                symbol, extra, bits = _prefix(min(4096, end - k))
+                tokens.append((256 + symbol, extra, bits))
+            at = end
+        tokens += [(v, 0, 0) for v in coded[at:].tolist()]
+        counts = np.bincount([t[0] for t in tokens], minlength=256 + LENGTHS)
+    lengths = limited_lengths(counts, longest)
     put_code(out, lengths)
-    for symbol in (0, 0, 255, 0):
+    for symbol in (0, 0, alpha, (0 if distance == coded_width else 1) if copied else 0):
         _put_fixed(out, symbol)
-    if np.count_nonzero(lengths) == 1:
+    alone = np.count_nonzero(lengths) == 1
+    if copied:
+        words = code_words(lengths)
+        for symbol, extra, bits in tokens:
+            if not alone:
+                out.put(int(words[symbol]), int(lengths[symbol]))
+            out.put(extra, bits)
+    if copied or alone:
         return out.value.to_bytes(-(-out.size // 8), "little")
     return _with_symbols(out, coded, lengths)
 

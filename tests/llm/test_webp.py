@@ -264,3 +264,73 @@ def test_image_column(spark):
     got = {r["id"]: r for r in decode_images(spark.createDataFrame(rows, "id long, media binary, width string")).collect()}
     assert (np.array(got[1]["pixels"], np.int32).view(np.uint32) == image.ravel()).all() and (got[1]["width"], got[1]["height"]) == (6, 5)
     assert all(got[i]["pixels"] is None and got[i]["width"] is None for i in (2, 3, 4))
+
+
+def structured():
+    """Images by what their samples are like, and what should be used for them."""
+    rng = np.random.default_rng(8)
+    x, y = np.meshgrid(np.arange(64), np.arange(40))
+    noise = rng.integers(0, 256, (40, 64))
+    row = rng.integers(0, 256, 64)
+    return {
+        "noise": (noise, set(), False),
+        "one value": (np.full((40, 64), 7), {webp.PALETTE}, True),
+        "few values": (noise % 5, {webp.PALETTE}, False),
+        "long runs": (np.repeat(rng.integers(0, 256, 40), 64).reshape(40, 64), None, True),
+        "equal rows": (np.tile(row, (40, 1)), None, True),
+        "across": ((x * 3 + y * 7 + rng.integers(0, 2, (40, 64))) % 256, {webp.PREDICTOR}, False),
+        "down": (((row[None, :] + y * 3 + rng.integers(0, 2, (40, 64))) % 256), {webp.PREDICTOR}, False),
+        "one row": (noise[:1], set(), False),
+        "two equal rows": (np.repeat(noise[:1], 2, axis=0), None, False),
+    }
+
+
+def test_encoder_uses_what_saves_bits_and_loses_nothing():
+    for name, (samples, transforms, copied) in structured().items():
+        samples = samples.astype(np.uint8)
+        stream = webp.encode_samples(samples)
+        back = webp.decode_stream(stream)
+        assert (((back >> 8) & 255) == samples).all() and (back >> 24 == 255).all() and (back & 0xFF00FF == 0).all(), name
+        assert ((webp.decode_streams([stream, stream])[1]) == back).all(), name
+        bits = webp.Bits(stream)
+        head = webp.read_header(bits)
+        if transforms is not None:
+            assert {t[0] for t in head.transforms} == transforms, name
+        bits.read(2)
+        assert (webp.read_group(bits, 0)[0].table.max() >> 4 >= 256) == copied, name
+
+
+def test_random_samples_of_all_kinds_come_back():
+    rng = np.random.default_rng(9)
+    for k in range(60):
+        height, kinds = int(rng.integers(1, 65)), int(rng.choice([1, 2, 3, 5, 17, 40, 256]))
+        samples = rng.integers(0, kinds, (height, 64))
+        if k % 3 == 0:
+            samples = np.cumsum(samples, axis=k % 2) % 256
+        if k % 4 == 0:
+            samples = np.repeat(samples.ravel(), 16)[: height * 64].reshape(height, 64)
+        samples = samples.astype(np.uint8)
+        assert (((webp.decode_stream(webp.encode_samples(samples)) >> 8) & 255) == samples).all()
+
+
+def test_one_mode_is_undone_as_pixel_by_pixel():
+    rng = np.random.default_rng(10)
+    image = rng.integers(0, 1 << 32, (7, 9), dtype=np.uint32)
+    for mode in (1, 2):
+        modes = np.full((4, 5), mode << 8, np.uint32)
+        modes_mixed = modes.copy()
+        want = webp._undo_one_mode(image, mode)
+        old, webp._undo_one_mode = webp._undo_one_mode, None
+        try:
+            modes_mixed[3, 4] = (3 - mode) << 8  # a block beyond the image: makes the modes differ, and is not looked at
+            assert (webp.undo_predictor(image, 1, modes_mixed)[:6, :8] == want[:6, :8]).all()
+        finally:
+            webp._undo_one_mode = old
+
+
+def test_length_prefixes_come_back():
+    for value in [*range(1, 200), 511, 512, 513, 4095, 4096]:
+        symbol, extra, bits = webp._prefix(value)
+        out = webp.BitWriter()
+        out.put(extra, bits)
+        assert webp._value(webp.Bits(out.value.to_bytes(8, "little")), symbol) == value
