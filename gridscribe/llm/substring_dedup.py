@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,34 +162,30 @@ def duplicate_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     return whole.unionByName(checked).groupBy("id", "twin").agg(F.collect_list(match).alias("matches"))
 
 
-def parse(matches: list[dict] | None, window: int = WINDOW) -> list[dict]:
-    """Greedy factors of a text, in order: begin, end (words, exclusive), source_id, source_at.
+def parse(owner: np.ndarray, at: np.ndarray, runs: np.ndarray, from_id: np.ndarray, from_twin: np.ndarray, from_at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Greedy factors of texts, from their matches: owner, begin, end (words, exclusive), source id, source at; by owner, then by begin.
 
-    `matches` have each run of the text once at most. A factor takes in the next match if that begins at the run behind it, both
+    Matches have each run of a text once at most. From left to right, a factor takes in the next match if that begins at the run behind it, both
     here and in the source. Factors overlap by fewer than `window` words, where the last run of one and the first of the next share words.
     """
-    out: list[dict] = []
-    source = None
-    for m in sorted(matches or (), key=lambda m: m["at"]):
-        goes_on = (m["from_id"], m["from_twin"], m["from_at"] - m["at"])
-        end = m["at"] + m["runs"] - 1 + window
-        if out and goes_on == source and m["at"] == out[-1]["end"] - window + 1:
-            out[-1]["end"] = end
-        else:
-            out.append({"begin": m["at"], "end": end, "source_id": None if m["from_id"] == LAST else m["from_id"], "source_at": m["from_at"]})
-            source = goes_on
-    return out
-
-
-def joined_spans(factors: list[dict]) -> list[dict]:
-    """Spans of words that lie in a factor: sorted, apart."""
-    out: list[dict] = []
-    for f in factors:
-        if out and f["begin"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], f["end"])
-        else:
-            out.append({"begin": f["begin"], "end": f["end"]})
-    return out
+    order = np.lexsort((at, owner))
+    owner, at, runs, from_id, from_twin, from_at = (x[order] for x in (owner, at, runs, from_id, from_twin, from_at))
+    same = lambda x: x[1:] == x[:-1]
+    goes_on = same(owner) & same(from_id) & same(from_twin) & same(from_at - at) & (at[1:] == at[:-1] + runs[:-1])
+    first = np.flatnonzero(np.r_[True, ~goes_on][: len(at)])
+    last = np.r_[first[1:], len(at)][: len(first)] - 1
+    return owner[first], at[first], at[last] + runs[last] - 1 + window, from_id[first], from_at[first]
+
+
+def joined_spans(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of words that lie in a factor, apart from one another: owner, begin, end. Ends of a text's factors ascend as their begins do."""
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (begin[1:] > end[:-1])][: len(owner)])
+    return owner[first], begin[first], end[np.r_[first[1:], len(owner)][: len(first)] - 1]
+
+
+def _lists(owner: np.ndarray, texts: int, **columns: pa.Array) -> pa.ListArray:
+    """A list of structs for each text, from columns sorted by owner."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(texts + 1)), pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
 def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -213,29 +210,27 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GR
 
         return keyed.mapInArrow(part, keyed.schema)
 
-    span = [("begin", pa.int64()), ("end", pa.int64())]
-    factor = pa.list_(pa.struct([*span, ("source_id", pa.int64()), ("source_at", pa.int64())]))
-    span = pa.list_(pa.struct(span))
-
     def cut(batches):
         for batch in batches:
-            n_words, n_removed, kept, spans, factors = [], [], [], [], []
-            for text, matches in zip(batch["text"].to_pylist(), batch["matches"].to_pylist(), strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes: parts at the six ASCII blanks alone
-                parsed = parse(matches, window)
-                own = joined_spans(parsed)
+            rows, matches = batch.num_rows, batch["matches"]
+            flat, of = matches.flatten(), pc.list_parent_indices(matches).to_numpy().astype(np.int64)
+            columns = [flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("at", "runs", "from_id", "from_twin", "from_at")]
+            owner, begin, end, source, source_at = parse(of, *columns, window)
+            spans = joined_spans(owner, begin, end)
+            edges = np.searchsorted(spans[0], np.arange(rows + 1))
+            n_words, n_removed, kept = np.zeros(rows, np.int64), np.zeros(rows, np.int64), []
+            for k, text in enumerate(batch["text"]):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()  # bytes: parts at the six ASCII blanks alone
                 left, done = [], 0
-                for s in own:
-                    left += words[done : s["begin"]]
-                    done = s["end"]
+                for a, b in zip(spans[1][edges[k] : edges[k + 1]].tolist(), spans[2][edges[k] : edges[k + 1]].tolist(), strict=True):
+                    left += words[done:a]
+                    done = b
                 left += words[done:]
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(left))
+                n_words[k], n_removed[k] = len(words), len(words) - len(left)
                 kept.append(b" ".join(left))
-                spans.append(own)
-                factors.append(parsed)
-            columns = [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span), pa.array(factors, factor)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "spans", "factors"])
+            named = _lists(spans[0], rows, begin=pa.array(spans[1]), end=pa.array(spans[2]))
+            factors = _lists(owner, rows, begin=pa.array(begin), end=pa.array(end), source_id=pa.array(source, mask=source == LAST), source_at=pa.array(source_at))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.binary()).cast(pa.string()), named, factors], names=["doc_id", "n_words", "n_removed", "kept", "spans", "factors"])
 
     met = parted(True).join(found, ["id", "twin"], "left").select("doc_id", "text", "matches")
     free = parted(False).select("doc_id", "text", F.lit(None).cast(found.schema["matches"].dataType).alias("matches"))

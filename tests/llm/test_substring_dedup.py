@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from gridscribe.llm.substring_dedup import parse, remove_duplicate_spans
@@ -74,14 +75,14 @@ def test_factors_are_greedy_copies_of_earlier_words(spark):
 
 
 def test_parse_extends_while_the_source_goes_on():
-    match = lambda at, runs, i, j: {"at": at, "runs": runs, "from_id": i, "from_twin": 0, "from_at": j}
-    factors = lambda *m: [(f["begin"], f["end"], f["source_id"], f["source_at"]) for f in parse(list(m), 20)]
-    assert parse(None) == [] and factors() == []
+    match = lambda at, runs, i, j, owner=0: (owner, at, runs, i, 0, j)
+    factors = lambda *m: list(zip(*(x.tolist() for x in parse(*np.array(m, np.int64).reshape(-1, 6).T, 20)[1:])))
+    assert factors() == []
     assert factors(match(3, 1, 7, 9), match(0, 3, 7, 6)) == [(0, 23, 7, 6)]
     assert factors(match(0, 3, 7, 6), match(3, 2, 8, 9)) == [(0, 22, 7, 6), (3, 24, 8, 9)]
     assert factors(match(0, 3, 7, 6), match(3, 2, 7, 30)) == [(0, 22, 7, 6), (3, 24, 7, 30)]
     assert factors(match(0, 3, 7, 6), match(4, 2, 7, 10)) == [(0, 22, 7, 6), (4, 25, 7, 10)]
-    assert factors(match(0, 1, (1 << 63) - 1, 6)) == [(0, 20, None, 6)]
+    assert factors(match(1, 1, 7, 7, owner=1), match(0, 1, 7, 6)) == [(0, 20, 7, 6), (1, 21, 7, 7)]
 
 
 def test_very_long_texts_of_one_word_and_long_words(spark):
