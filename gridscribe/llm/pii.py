@@ -47,6 +47,8 @@ SUPPORT, GENERALISE_AT, REMOVE_AT = 3, 0.8, 0.95
 SUBSUMES = 0.8
 #: Matches whose places are added up in one step; characters of a text that one key of `_free` stands for.
 FOLD, CELL = 256, 256
+#: Bytes of terms that are sent to the texts; with more of them, texts with an entity move instead.
+BROADCAST_BYTES = 8 << 20
 SPAN = "array<struct<kind: string, start: int, end: int, value: string>>"
 
 
@@ -247,14 +249,15 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GEN
     Every row stays, with all its columns; only `text` changes, and a column n_chars with it; a null text stays null. Overlapping spans are
     replaced as one, by the first one's replacement. An empty table gives no rows; repeated rows come out alike.
 
-    Terms stand near entities only, so texts without an entity stay where they are; the others meet their terms, which Spark sends to them where
-    they are few. Without any term no text moves.
+    Terms are sent to the texts where their size, which is known before, is under BROADCAST_BYTES. Beyond that, texts move, but only those with an entity,
+    as terms stand near entities only.
     """
     _, terms = find_personal_data(docs, support, generalise_at, remove_at)
     terms = terms.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("terms").alias("__terms"))
     spans, keyed = base_spans(F.col("text")), docs.withColumns({"__id": row_id(), "__hash": F.xxhash64("text")})
-    if terms.isEmpty():
-        met = keyed.withColumn("__terms", F.lit(None).cast(terms.schema["__terms"].dataType))
+    term_bytes = F.lit(48) + F.aggregate("__terms", F.lit(0), lambda acc, t: acc + 64 + F.octet_length(t["value"]) + F.coalesce(F.octet_length(t["general"]), F.lit(0)))
+    if (terms.agg(F.sum(term_bytes)).first()[0] or 0) <= BROADCAST_BYTES:
+        met = keyed.join(F.broadcast(terms), ["__id", "__hash"], "left")
     else:
         any_entity = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for p in PATTERNS.values())), F.lit(False))
         met = keyed.where(any_entity).join(terms, ["__id", "__hash"], "left")

@@ -3,8 +3,10 @@ import math
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from gridscribe.llm import pii
 from gridscribe.llm.pii import CONTEXT, base_spans, find_personal_data, op2_pii, sanitise
 
 from .helpers import docs, odd_rows, prose, with_clashing_columns
@@ -45,7 +47,9 @@ def corpus():
     return common + told
 
 
-def test_disclosing_term_is_found_and_removed(spark):
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_disclosing_term_is_found_and_removed(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", most)  # terms go to the texts, or texts to the terms
     df = docs(spark, corpus())
     _, terms = find_personal_data(df)
     found = {r["id"]: [t["value"] for t in r["terms"]] for r in terms.collect()}
