@@ -69,7 +69,9 @@ def test_words_in_and_out_of_tables(spark):
 def test_title_and_paragraphs(spark):
     lines = spark.createDataFrame([("d", 1, "Bảng 1: Phí", 10.0, 100.0, 50.0, 60.0), ("d", 1, "xa", 10.0, 300.0, 5.0, 15.0)], "doc_id string, page int, text string, x0 double, x1 double, top double, bottom double")
     t = spark.createDataFrame([("d", 1, "t", 0.0, 70.0, 105.0, 150.0), ("d", 1, "u", 0.0, 500.0, 105.0, 600.0)], BOX)
-    assert {r["table_id"]: r["title_line"] for r in G.title_above(t, lines).collect()} == {"t": "Bảng 1: Phí", "u": None}
+    assert {r["table_id"]: r["title_line"] for r in G.title_above(t, G.paragraph_starts(lines)).collect()} == {"t": "Bảng 1: Phí", "u": None}
+    more = lines.union(spark.createDataFrame([("d", 1, "một đoạn dài đến lề", 10.0, 300.0, 38.0, 48.0)], lines.schema))
+    assert {r["table_id"]: r["title_text"] for r in G.title_above(t, G.paragraph_starts(more)).collect()} == {"t": "xa một đoạn dài đến lề Bảng 1: Phí", "u": None}
 
 
 def test_wrap():
