@@ -19,7 +19,7 @@ judged by the most that it discloses of the value or of a part. That some entity
 brackets say it.
 
 All of it is DataFrame expressions; counts are aggregates with map-side combining. Patterns run once over each text, and only spans, contexts
-and counts of terms that have evidence go on from there. Positions of matches
+and counts of words go on from there. Positions of matches
 come from the lengths of what lies between them (`split`), so they are those of the regex engine itself.
 """
 
@@ -190,9 +190,10 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, support: int = SUPPORT) -
     if pairs.isEmpty():
         return near.select("kind", "value", "term", F.lit(0.0).alias("disclosure")).limit(0)
     entities = parted.select("id", "text_hash", *entity).distinct().groupBy(*entity).agg(F.count("*").alias("n_entity"))
-    # Of all words of the corpus, those are counted that have evidence: where they are few, Spark sends them to the texts.
+    # Words are counted before they meet the pairs: a join with the texts' words makes a row for each text and term that has evidence, and the
+    # larger the corpus, the more of its words have. Not a semi join, which Spark would move below the count.
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(stored(pairs.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n_all")).select("n_all")
     counted = pairs.join(entities, entity).join(terms, "term").join(F.broadcast(total))  # one row
     information = F.log2(F.col("n_all") / F.col("n_entity"))

@@ -169,3 +169,36 @@ def test_very_many_entities_in_one_text(spark):
     assert set(found) == {0, 1, 2, 3} and all(len(t) == 6000 for t in found.values())
     clean = {r["doc_id"]: r["text"] for r in sanitise(docs(spark, rows)).collect()}
     assert clean[0].count("[EMAIL]") == clean[0].count("[PHONE]") == 3000 and "Groupword" not in clean[0] and "é" in clean[0]
+
+
+def joined_rows(df):
+    """Rows that each join of the plan made when `df` was collected."""
+    df.collect()
+    out = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if "Join" in kind:
+            out.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
+def test_joins_do_not_grow_with_texts_that_merely_hold_the_terms(spark):
+    def told(n):
+        rows = [(i, "alpha bravo mail ann@acme.org charlie delta") for i in range(4)] + [(10 + i, "alpha bravo mail charlie delta") for i in range(n)]
+        df = docs(spark, rows)
+        each = df.where("text like '%@%'").withColumn("t", F.explode(pii.contexts(F.col("text"), base_spans(F.col("text"))))).select(pii.row_id().alias("id"), F.xxhash64("text").alias("text_hash"), "t.*")
+        return pii.disclosing_terms(df.select("text"), each)
+
+    few, many = told(100), told(1000)
+    assert {r["term"]: r["disclosure"] for r in many.collect()} == dict.fromkeys(["alpha", "bravo", "mail", "charlie", "delta"], 0.0)
+    made = joined_rows(few)
+    assert made and made == joined_rows(many) and max(made) < 100
