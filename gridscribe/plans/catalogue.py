@@ -341,9 +341,8 @@ def word_to_cell_assign(spark, sf_dir):
 @query(_WORDS + """ SELECT word_id, round(min(d), 6) AS distance FROM m GROUP BY word_id HAVING NOT bool_or(inside)""")
 def nearest_cell_fallback(spark, sf_dir):
     words, cells = _points_and_boxes(spark, sf_dir)
-    met = G._named(words, "w_", ["doc_id", "page", "word_id"]).join(G._named(cells, "b_", ["doc_id", "page", "cell_id"]), ["doc_id", "page"])
-    found = met.groupBy("word_id").agg(F.min(G.box_distance()).alias("d"), F.bool_or(G.in_box(0.5)).alias("inside"))
-    return found.where(~F.col("inside")).select("word_id", F.round("d", 6).alias("distance"))
+    found = G.nearest_cells(words, cells, ["doc_id", "page"])
+    return found.where(~F.col("inside")).select("word_id", F.round("distance", 6).alias("distance"))
 
 
 @query(_WORDS + """ SELECT w.word_id FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page = w.page AND x BETWEEN x0 - 1 AND x1 + 1 AND y BETWEEN y0 - 1 AND y1 + 1)""")
