@@ -7,11 +7,13 @@ one under its section. Rules that carry state from line to line are folds over o
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscribe.functions import lines as L
 from gridscribe.functions import text as T
+from gridscribe.groups import arrow_schema, by_group, sent
 from gridscribe.schema import NUMBERED
 from gridscribe.session import ship_code
 
@@ -163,38 +165,42 @@ def number_documents(tables: DataFrame) -> DataFrame:
 
     A continuation goes on with the rows and the name of the last table before it.
     """
-    ship_code(tables.sparkSession)
+    columns, schema = ["doc_id", "table_id", "lines", "path", "title", "headers", "continued"], arrow_schema(NUMBERED)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out, rows, context, path, title = [], 0, "", (), ""
-        for t in group.sort_values("seq").itertuples():
-            if not t.continued:
-                rows, context, path, title = 0, "", tuple(t.path), t.title or ""
-            made, rows, context = number_lines(list(t.lines), path, rows, context, title, list(t.headers) if t.headers is not None else [], bool(t.continued))
-            out += [{"doc_id": t.doc_id, "table_id": t.table_id, "seq": k, "line": x} for k, x in enumerate(made)]
-        return pd.DataFrame(out, columns=["doc_id", "table_id", "seq", "line"])
+    def numbered(group: pa.Table, cuts: list[int]):
+        begins = set(cuts)
+        rows, context, path, own = 0, "", (), ""
+        for at, (doc, table, lines, first, title, headers, continued) in enumerate(zip(*(group.column(c).to_pylist() for c in columns), strict=True)):
+            if at in begins:
+                rows, context, path, own = 0, "", (), ""
+            if not continued:
+                rows, context, path, own = 0, "", tuple(first), title or ""
+            made, rows, context = number_lines(lines, path, rows, context, own, headers or [], bool(continued))
+            yield from ((doc, table, k, x) for k, x in enumerate(made))
 
-    return tables.groupBy("doc_id").applyInPandas(fold, NUMBERED)
+    return by_group(tables, ["doc_id"], ["seq"], lambda group, cuts: sent(numbered(group, cuts), schema), NUMBERED)
 
 
 def accepted_headings(lines: DataFrame) -> DataFrame:
     """Headings of `lines` (doc_id, page, top, text, starts_paragraph): those that open a paragraph or go on from the last accepted one."""
-    ship_code(lines.sparkSession)
-    known = headings_of(lines).where("not is_contents").select("doc_id", "page", "top", "path", "starts_paragraph")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], ()
-        for h in group.sort_values(["page", "top"]).itertuples():
-            path = tuple(h.path)
+    known = lambda dealt: headings_of(dealt).where("not is_contents").select("doc_id", "page", "top", "path", "starts_paragraph")
+    schema = arrow_schema("doc_id string, page int, top double, path array<int>")
+
+    def accepted(group: pa.Table, cuts: list[int]):
+        begins, last = set(cuts), ()
+        for at, (doc, page, top, path, starts) in enumerate(zip(*(c.to_pylist() for c in group.columns), strict=True)):
+            if at in begins:
+                last = ()
+            path = tuple(path)
             child = path == (*last, 1)
             sibling = len(path) <= len(last) and path == (*last[: len(path) - 1], last[len(path) - 1] + 1)
             follows = child or sibling if last else len(path) == 1 or path[-1] == 1
-            if h.starts_paragraph or follows:
-                kept.append({"doc_id": h.doc_id, "page": h.page, "top": h.top, "path": list(path)})
+            if starts or follows:
+                yield doc, page, top, path
                 last = path
-        return pd.DataFrame(kept, columns=["doc_id", "page", "top", "path"])
 
-    return known.groupBy("doc_id").applyInPandas(fold, "doc_id string, page int, top double, path array<int>")
+    columns = lines.select("doc_id", "page", "top", "text", "starts_paragraph")
+    return by_group(columns, ["doc_id"], ["page", "top"], lambda group, cuts: sent(accepted(group, cuts), schema), "doc_id string, page int, top double, path array<int>", known)
 
 
 def list_numbers(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
