@@ -18,10 +18,11 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def lost_tokens(source: DataFrame, output: DataFrame) -> DataFrame:
     """doc_id, token, lost: how many more there are in the source than in the output.
 
-    Tokens of the source count up, those of the output down: one aggregate with map-side combining, no join.
+    Tokens of the source count up, those of the output down. The texts of a document are brought together, not its tokens, which are many times as large;
+    what then counts them stays where they are.
     """
-    signed = lambda df, sign: df.select("doc_id", F.explode(T.tokens("text")).alias("token"), F.lit(sign).alias("sign"))
-    both = signed(source, 1).unionAll(signed(output, -1))
+    signed = lambda df, sign: df.select("doc_id", "text", F.lit(sign).alias("sign"))
+    both = signed(source, 1).unionAll(signed(output, -1)).repartition("doc_id").select("doc_id", F.explode(T.tokens("text")).alias("token"), "sign")
     return both.groupBy("doc_id", "token").agg(F.sum("sign").alias("lost")).where("lost > 0")
 
 
@@ -47,9 +48,10 @@ def double_blanks(text: Column) -> Column:
 
 def first_double_blank(lines: Column) -> Column:
     """Index of the first of two blank lines in a row, or null."""
-    blank = F.transform(lines, lambda x: F.trim(x) == "")
-    at = F.filter(F.sequence(F.lit(0), F.size(lines) - 2), lambda i: F.get(blank, i) & F.get(blank, i + 1))
-    return F.when(F.size(lines) > 1, F.get(at, F.lit(0)))
+    blank = F.transform(lines, lambda x: F.coalesce(F.trim(x) == "", F.lit(False)))
+    both = lambda b: F.zip_with(b, F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), lambda x, y: x & F.coalesce(y, F.lit(False)))
+    at = T.let(blank, lambda b: F.array_position(both(b), True))
+    return F.when(at > 0, (at - 1).cast("int"))
 
 
 def report(source: DataFrame, output: DataFrame, residual: DataFrame | None = None) -> DataFrame:
