@@ -5,6 +5,7 @@ A group costs no batch and no table of its own, so millions of small ones are as
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,8 +77,12 @@ def by_group(df: DataFrame, keys: list[str], order: list, fold: Callable[[pa.Tab
     dealt = read(spread(df, *keys)).sortWithinPartitions(*keys, *order)
 
     def run(batches):
-        for rows, cuts in whole_groups(batches, keys):
-            yield from fold(rows, cuts)
+        gc.disable()  # a large group is millions of objects without cycles, which would be looked at again and again
+        try:
+            for rows, cuts in whole_groups(batches, keys):
+                yield from fold(rows, cuts)
+        finally:
+            gc.enable()
 
     return dealt.mapInArrow(run, schema)
 
